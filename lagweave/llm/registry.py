@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagweave.llm import chat, langid, quality, toxicity
+from lagweave.llm import chat, langid, pii, quality, toxicity, wfst
 from lagweave.llm.common import fold
 
 
@@ -27,6 +27,15 @@ def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"))
 
 
+#: Of the registered queries; a deployment passes its own secret.
+PII_KEY = b"lagweave surrogate key"
+
+
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace(docs, PII_KEY).select("doc_id", F.size("entities").alias("n_entities"), "text", "entities")
+
+
 def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:
     labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic").where("toxic is not null").dropDuplicates(["doc_id"])
     return toxicity.learn(docs.select("doc_id", "text").where(fold(F.col("doc_id"), 3) != 1).join(labels, "doc_id"))
@@ -38,5 +47,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op4_chat_perspectives, op5_language_id, op6_quality_cascade, op9_toxicity)}
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wfst.encode(_table(spark, sf_dir, "documents"), wfst.Transducer(wfst.read_pieces()))
+
+
+QUERIES = {f.__name__: f for f in (op4_chat_perspectives, op5_language_id, op6_quality_cascade, op7_pii_surrogates, op9_toxicity, op10_sentencepiece)}
 ORACLES = {"op4_chat_perspectives": chat.ORACLE, "op6_quality_cascade": quality.ORACLE}
