@@ -37,8 +37,8 @@ def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:
-    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic").where("toxic is not null").dropDuplicates(["doc_id"])
-    return toxicity.learn(docs.select("doc_id", "text").where(fold(F.col("doc_id"), 3) != 1).join(labels, "doc_id"))
+    labels = _table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 3) != 1)
+    return toxicity.learn(docs, labels)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
