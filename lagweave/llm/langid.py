@@ -125,16 +125,19 @@ def train(texts: list[str], langs: list[str]) -> Network | None:
 
 
 def learn(labelled: DataFrame) -> Network | None:
-    """Fit on a bounded sample of rows (doc_id, text, lang): an equal share of each language, first in the order of a hash of the id, a piece from the middle of each."""
-    from pyspark.sql import Window
-
+    """Fit on a bounded sample of rows (doc_id, text, lang): about an equal share of each language, by a hash of the id, a piece from the middle of each."""
     rows = labelled.where("text is not null and lang is not null").where(F.col("text").rlike(r"\p{L}"))
     at = F.greatest(F.lit(1), (F.length("text") / 2 - SAMPLE_CHARS / 2).cast("int"))
     rows = rows.select("lang", F.substring("text", at, F.lit(SAMPLE_CHARS)).alias("text"), F.xxhash64("doc_id").alias("_h"))
-    langs = sorted(r.lang for r in rows.select("lang").distinct().limit(SAMPLE_ROWS).collect())
-    share = max(1, SAMPLE_ROWS // max(1, len(langs)))
-    found = rows.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "text"))).where(F.col("_r") <= share).select("lang", "text").orderBy("lang", "text").collect()
-    return train([r.text for r in found], [r.lang for r in found])
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE_ROWS // 10).collect()}
+    share = SAMPLE_ROWS / max(1, len(counts))
+    # a row is taken if its hash lies below its language's share: about SAMPLE_ROWS rows of whatever table
+    chosen = rows.where("false")
+    if counts:
+        below = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, share / n)))])
+        chosen = rows.where(F.pmod("_h", F.lit(1 << 30)) < F.try_element_at(below, F.col("lang")) * (1 << 30))
+    found = sorted((r.lang, r.text) for r in chosen.select("lang", "text").limit(2 * SAMPLE_ROWS).collect())
+    return train([t for _, t in found], [k for k, _ in found])
 
 
 def predict_texts(net: Network | None, texts: list[str | None]) -> list[tuple[str, float]]:
