@@ -170,60 +170,6 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     return train([r.text for r in found if r.toxic == 1], [r.text for r in found if r.toxic == 0])
 
 
-def score(self, text: str | None) -> float:
-        z = sum(a * b for a, b in zip(self.weights, (*self.features(text), 1.0), strict=True))
-        return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 0.05) -> np.ndarray:
-    """Newton steps for ridge logistic regression; the last column is the constant."""
-    w = np.zeros(x.shape[1])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        w += np.linalg.solve(h, x.T @ (y - p) - ridge * w)
-    return w
-
-
-def train(toxic: list[str], ordinary: list[str]) -> Model:
-    """Dictionaries from two thirds of either class; margin and weights from the rest."""
-    toxic, ordinary = distinct_texts(toxic), distinct_texts(ordinary)
-    if len(toxic) < 6 or len(ordinary) < 6:
-        return Model(b"\0" * 8, b"\0" * 8)
-    t, o = [windows(x) for x in toxic], [windows(x) for x in ordinary]
-    fit_t, fit_o = [x for k, x in enumerate(t) if k % 3], [x for k, x in enumerate(o) if k % 3]
-    marks = contrastive(fit_t, fit_o)
-    odd = [w for x in fit_t for w in x if len(w) >= GRAM and not marks.isdisjoint(_grams([w]))]
-    plain = [w for x in fit_o for w in x][: 2_000_000]
-    if not odd:
-        return Model(b"\0" * 8, b"\0" * 8)
-    sentences = [b"".join(plain[i : i + 12]) for i in range(0, len(plain), 12)][:60_000]
-    packs = [b"".join(odd[i : i + 6]) for i in range(0, len(odd), 6)]
-    model = Model(_dictionary(packs * max(1, 300 // len(packs)), DICT_BYTES[0]).as_bytes(), _dictionary(sentences, DICT_BYTES[1]).as_bytes())
-    held = [(x, 1) for x in toxic[::3]] + [(x, 0) for x in ordinary[::3]]
-    y, best = np.array([k for _, k in held], float), None
-    for margin, share in ((m, s) for m in (1, 2, 3) for s in (0.2, 0.27, 0.34, 0.42)):
-        model.margin, model.share = margin, share
-        x = np.array([(*model.features(a), 1.0) for a, _ in held])
-        w = _logistic(x, y)
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        loss = -np.mean(y * np.log(p + 1e-9) + (1 - y) * np.log(1 - p + 1e-9))
-        if best is None or loss < best[0]:
-            best = (loss, margin, share, tuple(map(float, w)))
-    model.margin, model.share, model.weights = best[1:]
-    return model
-
-
-def learn(labelled: DataFrame) -> Model:
-    """Train on a bounded sample of rows (doc_id, text, toxic): the first of each class in the order of a hash of the id."""
-    place = F.greatest(F.lit(1), F.pmod(F.xxhash64("doc_id", F.lit(7)), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1))) + 1).cast("int")
-    rows = labelled.where("text is not null and toxic in (0, 1)").select("doc_id", "toxic", F.substring("text", place, F.lit(SAMPLE_CHARS)).alias("text"), F.xxhash64("doc_id").alias("_h"))
-    picked = {}
-    for k, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_ORDINARY)):
-        picked[k] = [r.text for r in rows.where(F.col("toxic") == k).orderBy("_h", "text").limit(most).collect()]
-    return train(picked[1], picked[0])
-
-
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """doc_id, score and predicted of every row of `docs`; a narrow pass over whole texts."""
 
