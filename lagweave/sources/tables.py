@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
+_ROOT = str(Path(__file__).resolve().parents[2])
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The table `name` of `folder`; the path goes to Spark's reader alone, so any store it knows will do."""
+    """The table `name` of `folder`; the path goes to Spark's reader alone, so any store it knows will do. Workers are told where this package lies."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", _ROOT)
     return spark.read.parquet(f"{folder}/{name}.parquet")
