@@ -7,10 +7,7 @@ from pyspark.sql import functions as F
 
 from lagweave.llm import chat, langid, pii, quality, toxicity, wfst
 from lagweave.llm.common import fold
-
-
-def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+from lagweave.sources.tables import table as _table
 
 
 def op4_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
