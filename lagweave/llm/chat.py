@@ -1,4 +1,4 @@
-"""Chat formatting by perspective rotation, in DataFrame functions.
+r"""Chat formatting by perspective rotation, in DataFrame functions.
 
 Every participant of a conversation gets a rendering in which they speak as the
 assistant and all others as named users; system turns are instructions and

@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagweave.llm import chat, langid, pii, quality, toxicity, wfst
+from lagweave.llm import chat, decontaminate, langid, lm, pii, quality, toxicity, wfst
 from lagweave.llm.common import fold
 from lagweave.sources.tables import table as _table
 
 
+def op2_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold(F.col("doc_id"), 10) == 0
+    found = lm.score(_table(spark, sf_dir, "documents"), ~held_out, wfst.read_pieces())
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(_table(spark, sf_dir, "conversations"))
 
@@ -44,9 +50,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wfst.encode(_table(spark, sf_dir, "documents"), wfst.Transducer(wfst.read_pieces()))
 
 
-QUERIES = {f.__name__: f for f in (op4_chat_perspectives, op5_language_id, op6_quality_cascade, op7_pii_surrogates, op9_toxicity, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op2_lattice_lm, op4_chat_perspectives, op5_language_id, op6_quality_cascade, op7_pii_surrogates, op8_decontamination, op9_toxicity, op10_sentencepiece)}
 ORACLES = {"op4_chat_perspectives": chat.ORACLE, "op6_quality_cascade": quality.ORACLE}
