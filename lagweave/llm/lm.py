@@ -57,6 +57,7 @@ class Lattice:
         else:
             n = sum(counts.values()) + PRIOR_WEIGHT
             self.weight = {i: math.log((counts.get(i, 0.0) + PRIOR_WEIGHT * math.exp(w - norm)) / n) for i, w in self.prior.items()}
+        self.fallback: dict[str, tuple[float, bytes]] = {}
         self.root: dict = {}
         for i, (p, _, k) in enumerate(pieces):
             if k == "normal" and i in prior:
@@ -74,8 +75,10 @@ class Lattice:
                 j += 1
                 if (arc := node.get("")) is not None:
                     here.append((j, *arc))
-            raw = ch.encode("utf-8", "replace")
-            here.append((i + 1, sum(self.weight[self.byte_id[b]] for b in raw), raw))
+            if (known := self.fallback.get(ch)) is None:
+                raw = ch.encode("utf-8", "replace")
+                known = self.fallback[ch] = (sum(self.weight[self.byte_id[b]] for b in raw), raw)
+            here.append((i + 1, *known))
             out.append(here)
         return out
 

@@ -5,17 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagweave.llm import chat, decontaminate, langid, lm, pii, quality, toxicity, wfst
+from lagweave.llm import chat, decontaminate, langid, lm, ngram_join, pii, quality, suffix_dedup, toxicity, wfst
 from lagweave.llm.common import fold
 from lagweave.sources.tables import table as _table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(_table(spark, sf_dir, "documents"))
+
+
 def op2_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold(F.col("doc_id"), 10) == 0
     found = lm.score(_table(spark, sf_dir, "documents"), ~held_out, wfst.read_pieces())
     return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_table(spark, sf_dir, "documents"))
+
+
 def op4_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(_table(spark, sf_dir, "conversations"))
 
@@ -58,5 +66,5 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wfst.encode(_table(spark, sf_dir, "documents"), wfst.Transducer(wfst.read_pieces()))
 
 
-QUERIES = {f.__name__: f for f in (op2_lattice_lm, op4_chat_perspectives, op5_language_id, op6_quality_cascade, op7_pii_surrogates, op8_decontamination, op9_toxicity, op10_sentencepiece)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_lattice_lm, op3_ngram_jaccard, op4_chat_perspectives, op5_language_id, op6_quality_cascade, op7_pii_surrogates, op8_decontamination, op9_toxicity, op10_sentencepiece)}
 ORACLES = {"op4_chat_perspectives": chat.ORACLE, "op6_quality_cascade": quality.ORACLE}

@@ -179,3 +179,13 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
             yield pd.DataFrame({"doc_id": f["doc_id"], "score": s, "predicted": [int(x >= threshold) for x in s]})
 
     return docs.select("doc_id", "text").mapInPandas(batches, "doc_id long, score double, predicted int")
+
+
+def keep(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """Rows of `docs` that are not predicted toxic, all columns as they are; a narrow filter."""
+
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        return pd.Series([model.score(t) for t in texts], dtype="float64")
+
+    return docs.where(scored(F.col("text")) < threshold)
