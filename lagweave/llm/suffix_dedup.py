@@ -307,10 +307,12 @@ def dedup(docs: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"h": np.concatenate(found), "k": np.repeat(g["k"].to_numpy(), n), "o": np.concatenate([np.arange(x, dtype=np.int32) for x in n])})
 
     every = cut(docs.where(F.octet_length("text") >= WIDTH).select("k", "text").mapInPandas(cores, "h long, k long, o int"))
-    often = every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", (F.col("n") > HOT).alias("hot"))
+    # written before the join: with a plain exchange on either side, adaptive execution can split a core that a third of all anchors share
+    often = cut(every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", (F.col("n") > HOT).alias("hot")))
     asked = cut(every.join(often, "h").groupBy("k").agg(F.collect_set(F.when(~F.col("hot"), F.col("o"))).alias("os"), F.collect_set(F.when(F.col("hot"), F.col("o"))).alias("hot")))
     total = asked.agg(F.coalesce(F.sum(F.size("os") + 50 * F.size("hot")), F.lit(0)).alias("n")).first().n
     drop_cut(every)
+    drop_cut(often)
     parts = max(shuffle_partitions(spark), -(-total // MERGED))
 
     def settle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
