@@ -208,14 +208,16 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataF
 
 def keep(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
     """Rows of `docs` that hold no item, all columns as they are; a narrow filter for each block of items."""
-    for held in blocks(items):
-        block = docs.sparkSession.sparkContext.broadcast(Block(held, rate))  # at most BLOCK_CHARS of items
-
-        def clean(texts: pd.Series, block=block) -> pd.Series:
+    def cleaner(block):
+        def clean(texts: pd.Series) -> pd.Series:
             out = np.ones(len(texts), bool)
             for r, *_ in block.value.match([t if isinstance(t, str) else None for t in texts]):
                 out[r] = False
             return pd.Series(out)
 
-        docs = docs.where(F.pandas_udf(clean, "boolean")(F.col("text")))
+        return F.pandas_udf(clean, "boolean")
+
+    for held in blocks(items):
+        block = docs.sparkSession.sparkContext.broadcast(Block(held, rate))  # at most BLOCK_CHARS of items
+        docs = docs.where(cleaner(block)(F.col("text")))
     return docs
