@@ -46,11 +46,14 @@ def entropies(cells: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, F.col("total").alias("N"), "K", (plugin / LN2).alias("plugin"), ((plugin + (F.col("K") - 1) / (2 * big)) / LN2).alias("miller_madow"), (F.col("z") / LN2).alias("zhang"), ((F.col("z") + tail) / LN2).alias("chao_wang_jost"), ((F.log(big) - F.col("g") / big) / LN2).alias("grassberger"))
 
 
-def _tail(a: Column, n: Column) -> Column:
-    """sum over j >= 0 of (1-a)^(j+1) / (n+j): terms to 400 steps, then the integral's closed bound by the next term over a."""
-    q = 1 - a
-    head = F.aggregate(F.sequence(F.lit(0), F.lit(399)), F.lit(0.0), lambda s, j: s + F.pow(q, j + 1) / (n + j))
-    return head + F.pow(q, F.lit(401)) / (n + 400) / a * (1 - q / (a * (n + 401)))
+def _tail(a: Column, n: Column, head: int = 200, depth: int = 80) -> Column:
+    """sum over j >= 0 of (1-a)^(j+1) / (n+j): the first terms, then the rest by Euler-Maclaurin, its integral an exponential integral in continued-fraction form."""
+    q, m = 1 - a, n + head
+    first = F.aggregate(F.sequence(F.lit(0), F.lit(head - 1)), F.lit(0.0), lambda s, j: s + F.pow(q, j + 1) / (n + j))
+    z = -F.log(q) * m
+    fraction = F.aggregate(F.sequence(F.lit(depth), F.lit(1), F.lit(-1)), z, lambda c, k: z + k / (1 + k / c))
+    term = F.pow(q, F.lit(head + 1)) / m
+    return first + F.pow(q, F.lit(head + 1)) / fraction + term / 2 - term * (F.log(q) - 1 / m) / 12
 
 
 def conditional_mi(table: DataFrame, keys: list[str], y: str = "y", x: str = "x", w: list[str] | None = None) -> DataFrame:
