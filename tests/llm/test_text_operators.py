@@ -1,0 +1,381 @@
+"""Operators of the language subpackage against brute force, round trips and held-out accuracy."""
+
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lagweave.llm import chat, decontaminate, graph, langid, lm, ngram_join, pii, quality, registry, suffix_dedup, toxicity, wfst
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LONG = "lorem ipsum dolor sit amet " * 3000
+EDGE_TEXTS = [None, "", " \n\t", "a", LONG, "same text here for all of us", "same text here for all of us", "ü☃ ▁  x"]
+
+
+def edge_docs(spark):
+    """Nulls, empty and very long texts, repeated rows, a null id, and columns whose names clash with the operators' own."""
+    rows = [(k, t, "x", 1, "k") for k, t in enumerate(EDGE_TEXTS)] + [(5, EDGE_TEXTS[5], "x", 1, "k"), (None, "no id at all", None, None, None)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, n int, key string")
+
+
+def empty_docs(spark):
+    return spark.createDataFrame([], "doc_id long, text string, lang string")
+
+
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+# 1
+
+
+def brute_repeats(texts, width):
+    seen = Counter(x[p : p + width] for x in texts for p in range(len(x) - width + 1))
+    out = []
+    for x in texts:
+        gone = bytearray(len(x))
+        for p in range(len(x) - width + 1):
+            if seen[x[p : p + width]] > 1:
+                gone[p : p + width] = b"\1" * width
+        kept = bytes(c for c, g in zip(x, gone) if not g)
+        out.append((len(x), sum(gone), sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1])), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("hot", [20_000, 2])
+def test_suffix_dedup_matches_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rng = random.Random(hot)
+    word = lambda: "".join(rng.choice("abcdé ") for _ in range(rng.randrange(60, 700)))
+    shared = [word() for _ in range(4)]
+    texts = [rng.choice(shared) + word() + rng.choice(shared)[rng.randrange(50) :] for _ in range(40)] + ["a" * 900, "ab" * 300, "", "x" * 199]
+    texts += texts[:3]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(df).collect()}
+    want = brute_repeats([t.encode() for t in texts], suffix_dedup.WIDTH)
+    assert [got[k] for k in range(len(texts))] == want
+
+
+def test_loser_tree_gives_sorted_suffixes_and_prefixes():
+    rng = random.Random(1)
+    runs, every = [], []
+    for _ in range(5):
+        items = sorted({"".join(rng.choice("ab") for _ in range(rng.randrange(1, 12))).encode() for _ in range(30)})
+        every += items
+        runs.append(suffix_dedup.Run(suffix_dedup.encode_run([(s, b"", [(1, 2)]) for s in items])))
+    out = list(suffix_dedup.merge(runs))
+    assert [s for _, s, _, _ in out] == sorted(every)
+    assert all(shared == suffix_dedup.common(a[1], b[1]) for a, b in itertools.pairwise(out) for shared in [b[0]])
+
+
+def test_suffix_dedup_edges(spark):
+    rows = suffix_dedup.dedup(edge_docs(spark)).collect()
+    assert len(rows) == len(EDGE_TEXTS) + 2
+    assert {r.n_bytes for r in rows if r.doc_id in (0, 1)} == {0}
+    assert suffix_dedup.dedup(empty_docs(spark)).count() == 0
+
+
+# 2
+
+
+def test_lattice_sums_all_segmentations():
+    pieces = [("▁", -1.0, "normal"), ("a", -2.5, "normal"), ("b", -3.25, "normal"), ("▁a", -1.5, "normal"), ("ab", -2.0, "normal")] + [(f"<0x{b:02X}>", 0.0, "byte") for b in range(256)]
+    m = lm.Lattice(pieces)
+    w = {p: m.weight[i] for i, (p, _, k) in enumerate(pieces) if k == "normal"}
+    fall = lambda c: sum(m.weight[m.byte_id[b]] for b in c.encode())
+
+    def every(s):
+        if not s:
+            return [0.0]
+        out = [fall(s[0]) + r for r in every(s[1:])]
+        return out + [w[p] + r for p in w if s.startswith(p) for r in every(s[len(p) :])]
+
+    for word in ("a", "ab", "abab", "bé"):
+        assert math.isclose(m.log_prob(word), math.log(sum(map(math.exp, every("▁" + word)))), rel_tol=1e-9)
+        plain, slow = [0.0] * (len(pieces) + 1), [0.0] * (len(pieces) + 1)
+        m.expect(word, 2.0, plain)
+        m.expect(word * 1, 1.0, slow)
+        assert np.allclose(np.array(plain), 2 * np.array(slow))
+
+
+def test_lm_base_score_and_totals(spark):
+    rows = registry.op2_lattice_lm(spark, SF).collect()
+    docs = {r.doc_id: r.text for r in documents(spark).collect()}
+    lower = str.maketrans(*lm.LOWER)
+    tokens = {k: [*WORD.findall(t.translate(lower)), ""] for k, t in docs.items()}
+    c = Counter(w for k, ws in tokens.items() if zlib.crc32(str(k).encode()) % 10 for w in ws)
+    n, v = sum(c.values()), len(c)
+    assert len(rows) == len(docs)
+    for r in rows:
+        ws = tokens[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(ws), sum(c[w] > 0 for w in ws), n)
+        assert math.isclose(r.base_score, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), rel_tol=1e-9)
+        assert r.score < 0
+
+
+def test_lm_edges(spark):
+    pieces = wfst.read_pieces()
+    rows = lm.score(edge_docs(spark), F.lit(True), pieces).collect()
+    assert len(rows) == len(EDGE_TEXTS) + 2
+    assert [r.n_tokens for r in rows if r.doc_id in (0, 1, 2)] == [1, 1, 1]
+    assert len({r.score for r in rows if r.doc_id in (5, 6)}) == 1
+    assert lm.score(empty_docs(spark), F.lit(True), pieces).count() == 0
+
+
+# 3
+
+
+def brute_classes(texts):
+    sets = {}
+    for k, t in texts.items():
+        w = WORD.findall(t or "")
+        sets[k] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    holders = defaultdict(list)
+    for k, s in sets.items():
+        for g in s:
+            holders[g].append(k)
+    common = Counter(p for ks in holders.values() for p in itertools.combinations(sorted(ks), 2))
+    up, links = {k: k for k in texts}, Counter()
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for (a, b), n in common.items():
+        if 9 * n >= 4 * (len(sets[a]) + len(sets[b])):
+            links[a] += 1
+            links[b] += 1
+            x, y = root(a), root(b)
+            up[max(x, y)] = min(x, y)
+    return {k: (root(k), links[k]) for k in texts}
+
+
+@pytest.mark.parametrize("block", [1024, 7])
+def test_ngram_join_matches_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(400)]
+    base = [rng.choice(words) for _ in range(80)]
+    texts = {}
+    for k in range(60):
+        t = list(base)
+        for _ in range(rng.randrange(4)):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        texts[k] = " ".join(t if k % 3 else [rng.choice(words) for _ in range(60)])
+    texts |= {60: texts[1], 61: "a b", 62: "a b", 63: "", 64: None}
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.join(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == brute_classes(texts)
+
+
+def test_ngram_join_edges(spark):
+    rows = ngram_join.join(edge_docs(spark)).collect()
+    assert len(rows) == len(EDGE_TEXTS) + 2
+    assert {r.class_id for r in rows if r.doc_id in (5, 6)} == {5}
+    assert ngram_join.join(empty_docs(spark)).count() == 0
+    kept = ngram_join.keep(edge_docs(spark))
+    assert kept.columns == edge_docs(spark).columns
+    assert sorted(r.doc_id if r.doc_id is not None else -1 for r in kept.collect()) == [-1, 0, 1, 2, 3, 4, 5, 7]
+
+
+def test_needed_agreements_follow_the_posterior():
+    needed = ngram_join.least_agreements(0.8, 0.01)
+    assert all(a < b for a, b in itertools.pairwise(needed.values()))
+    assert all(m / n < 0.8 for n, m in needed.items())
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(0, 30)] + [(100, 101), (102, 101), (50, 40)]
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**{i: 0 for i in range(31)}, 100: 100, 101: 100, 102: 100, 40: 40, 50: 40}
+    assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+# 4, 6
+
+
+@pytest.mark.parametrize("name", ["op4_chat_perspectives", "op6_quality_cascade"])
+def test_matches_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    want = con.sql(registry.ORACLES[name])
+    got = registry.QUERIES[name](spark, SF)
+    assert sorted(got.columns) == sorted(want.columns)
+    key = sorted(got.columns)
+    assert sorted(tuple(r[c] for c in key) for r in got.collect()) == sorted(tuple(r[want.columns.index(c)] for c in key) for r in want.fetchall())
+
+
+def test_chat_edges(spark):
+    rows = [(1, 0, "user", "hi <|assistant|>"), (1, 1, "bob", None), (1, 1, None, "x"), (1, None, "system", "be nice"), (2, 0, "system", "alone"), (None, 0, "user", "y"), (3, 0, "user", "z"), (3, 0, "user", "z")]
+    got = {(r.conv_id, r.perspective): r for r in chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert set(got) == {(1, "bob"), (1, "unknown"), (1, "user"), (None, "user"), (3, "user")}
+    r = got[1, "user"]
+    a, b = map(int, r.mask_spans.split(":"))
+    assert r.rendered[a:b] == "hi <\\|assistant|>" and r.n_turns == 4 and r.rendered.startswith("<|system|>\nbe nice")
+    assert got[3, "user"].n_own == 2
+
+
+def test_quality_edges_and_order(spark):
+    rows = {r.doc_id: r for r in quality.judge(edge_docs(spark)).collect()}
+    assert (rows[0].n_words, rows[0].kept) == (0, False)
+    assert rows[4].n_words == 15000 and rows[4].n_repeat_words == 15000 and not rows[4].kept
+    assert quality.judge(empty_docs(spark)).count() == 0
+    m = quality.metrics(edge_docs(spark))
+    for order in itertools.islice(itertools.permutations(quality.RULES), 0, 720, 240):
+        assert m.select(quality.cascade(list(order)).isNull().alias("k")).where("k").count() == m.select(quality.cascade(list(quality.RULES)).isNull().alias("k")).where("k").count()
+
+
+# 5, 9
+
+
+def test_language_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = registry.op5_language_id(spark, "/root/testdata/sf0.01").where("held_out").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert sum(r.lang_pred == r.lang for r in rows) / len(rows) > 0.9
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_language_edges(spark):
+    net = langid.train(["the cat sat on the mat and more of it"] * 4, ["en"] * 4)
+    rows = {r.doc_id: r for r in langid.predict(edge_docs(spark), net).collect()}
+    assert [rows[k].lang_pred for k in (0, 1, 2)] == ["und"] * 3 and rows[4].lang_pred == "en"
+    assert langid.predict(empty_docs(spark), net).count() == 0
+    assert {r.lang_pred for r in langid.predict(edge_docs(spark), None).collect()} == {"und"}
+
+
+def test_toxicity_learns_what_labels_mark():
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdeiou") for _ in range(rng.randrange(3, 9)))
+    words = [word() for _ in range(8000)]
+    text = lambda bad: " ".join([rng.choice(words) for _ in range(80)] + (["grumblefoo", "vexation"] if bad else []))
+    model = toxicity.train([text(True) for _ in range(120)], [text(False) for _ in range(240)])
+    assert sum(model.score(text(True)) >= 0.7 for _ in range(50)) >= 45
+    assert sum(model.score(text(False)) >= 0.7 for _ in range(50)) <= 2
+
+
+def test_toxicity_edges(spark):
+    model = toxicity.train([], [])
+    rows = toxicity.score(edge_docs(spark), model).collect()
+    assert len(rows) == len(EDGE_TEXTS) + 2 and all(0 <= r.score < 0.01 and r.predicted == 0 for r in rows)
+    assert toxicity.keep(edge_docs(spark), model).count() == len(EDGE_TEXTS) + 2
+    assert toxicity.learn(empty_docs(spark), spark.createDataFrame([], "doc_id long, toxic int")).score("x") < 0.01
+
+
+# 7
+
+
+def test_surrogates_are_distinct_and_corefer():
+    keyed = pii.Surrogates(b"test")
+    ips = [f"{a}.{b}.3.4" for a in (8, 9, 77) for b in range(100)]
+    assert len({keyed.replace("ip", x) for x in ips}) == len(ips)
+    cards = [f"41{k:014d}" for k in range(300)]
+    new = [keyed.replace("card", c) for c in cards]
+    assert len(set(new)) == 300 and [pii.luhn(c) for c in cards] == [pii.luhn(c) for c in new]
+    text, found = pii.rewrite("Mrs Mary Smith, +1 (988) 555-2485 or 988-555-2485, Bob@X.org bob@x.org, 10.0.0.7", keyed)
+    by = [x[3] for x in found]
+    assert not any(x[2] in text for x in found)
+    assert by[1][-13:].replace(" ", "").replace("(", "").replace(")", "").replace("-", "")[-7:] == by[2].replace("-", "")[-7:]
+    assert by[3].lower() == by[4] and by[5].startswith("10.0.")
+    assert by[0].split()[1] in pii.FIRST["f", "latin"]
+    assert [text[s : s + len(n)] for _, s, _, n in found] == by
+    names = [keyed.replace("name", f"Herr {n}") for n in pii.FIRST["m", "latin"]]
+    assert len(set(names)) == len(names)
+
+
+def test_pii_edges_and_collisions(spark):
+    out = pii.replace(edge_docs(spark), b"k")
+    assert out.columns == ["doc_id", "lang", "n", "key", "text", "entities"]
+    rows = {r.doc_id: r for r in out.collect()}
+    assert rows[0].text is None and rows[0].entities == [] and rows[4].text == LONG
+    assert pii.replace(empty_docs(spark), b"k").count() == 0
+    done = pii.replace(documents(spark), b"k")
+    assert pii.collisions(done).count() == 0
+    assert done.where("size(entities) > 0").count() > 0
+
+
+# 8
+
+
+def test_edit_distance_and_recall():
+    rng = random.Random(5)
+
+    def slow(a, b):
+        row = [0] * (len(b) + 1)
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return min(row)
+
+    for _ in range(200):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(1, 15))) for _ in "12")
+        assert decontaminate.edit_distance(a, b)[0] == min(len(a), slow(a, b))
+    letters = "abcdefghij klmn opq"
+    random_text = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    items = [(k, random_text(200)) for k in range(20)]
+    block, texts = decontaminate.Block(items), []
+    for k in range(100):
+        s = list(items[k % 20][1])
+        for _ in range(20):
+            s[rng.randrange(len(s))] = rng.choice(letters)
+        texts.append(random_text(100) + "".join(s) + random_text(100))
+    found = {(r, k) for r, k, _, _ in block.match(texts)}
+    assert sum((r, r % 20) in found for r in range(100)) >= 95
+    assert not block.match([random_text(600) for _ in range(100)] + [None, ""])
+
+
+def test_decontamination_finds_all_exact_passages(spark):
+    got = {(r.doc_id, r.item_id) for r in registry.op8_decontamination(spark, SF).collect()}
+    docs, items = documents(spark).collect(), spark.read.parquet(f"{SF}/benchmark.parquet").collect()
+    assert {(d.doc_id, i.item_id) for d in docs for i in items if decontaminate.plain(i.text) in decontaminate.plain(d.text)} <= got
+
+
+def test_decontamination_edges(spark):
+    items = spark.createDataFrame([(1, None), (2, ""), (3, "ab"), (None, "same text here for all of us")], "item_id long, text string")
+    assert decontaminate.contaminated(edge_docs(spark), items).count() == 0
+    items = spark.createDataFrame([(1, "same text here for all of us"), (2, "same text here for all of us")], "item_id long, text string")
+    rows = decontaminate.contaminated(edge_docs(spark), items).collect()
+    assert Counter((r.doc_id, r.item_id) for r in rows) == {(5, 1): 2, (5, 2): 2, (6, 1): 1, (6, 2): 1}
+    assert decontaminate.keep(edge_docs(spark), items).count() == len(EDGE_TEXTS) + 2 - 3
+    assert decontaminate.contaminated(empty_docs(spark), items).count() == 0
+
+
+# 10
+
+
+def test_transducer_takes_the_least_cost_path_and_round_trips():
+    pieces = [(p, s, "normal") for p, s in (("▁", -3.5), ("a", -2.5), ("b", -3.25), ("▁a", -1.5), ("ab", -2.0), ("▁▁", -0.5))] + [(f"<0x{b:02X}>", 0.0, "byte") for b in range(256)]
+    m = wfst.Transducer(pieces)
+    weight = wfst.costs(pieces)
+    cost = lambda ids, s: sum(weight[i] if i in weight else m.fallback / len([x for x in ids if x not in weight]) for i in ids)
+
+    def best(s):
+        if not s:
+            return 0.0
+        return min([m.fallback + best(s[1:])] + [weight[i] + best(s[len(p) :]) for i, (p, _, k) in enumerate(pieces) if k == "normal" and s.startswith(p)])
+
+    for t in ("a", "ab ba", "aab  b", "ab ab"):
+        ids = m.encode(t)
+        assert math.isclose(sum(weight[i] for i in ids), best("▁" + t.replace(" ", "▁")))
+        assert m.decode(ids) == t
+    real = wfst.Transducer(wfst.read_pieces())
+    for t in ("Hello  world\n\t☃", "▁ literal ▁▁", " lead", "é" * 300, ""):
+        assert real.decode(real.encode(t)) == t
+
+
+def test_sentencepiece_edges(spark):
+    m = wfst.Transducer(wfst.read_pieces())
+    rows = {r.doc_id: r for r in wfst.encode(edge_docs(spark), m).collect()}
+    assert rows[0].ids is None and rows[1].ids == [] and all(r.round_trip for r in rows.values() if r.ids is not None)
+    assert wfst.encode(empty_docs(spark), m).count() == 0
