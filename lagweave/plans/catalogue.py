@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lagweave.functions.special import xlog2x
-from lagweave.operators import align, decide, encode, info
+from lagweave.operators import align, decide, encode, info, kernels, network
 from lagweave.sources import series
 from lagweave.sources.tables import table
+from lagweave.streaming import hourly
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -464,3 +467,62 @@ def _(s, d):
         step = closed.alias("a").join(closed.alias("b"), F.col("a.target") == F.col("b.source")).select("a.source", "b.target")
         closed = closed.unionByName(step).distinct()
     return closed
+
+
+@query("stream_hourly_counts", "SELECT (epoch(date_trunc('hour', ts)) / 3600)::BIGINT AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")
+def _(s, d):
+    return hourly.windowed_counts(table(s, d, "events")).select(F.floor(F.col("start").cast("long") / 3600).alias("hour"), "event_type", "n")
+
+
+# Kernels below have no SQL twin; tests hold them against known answers.
+
+
+@query("edge_permutation_tests")
+def _(s, d):
+    return decide.adjust(network.edge_tests(ev_pairs(s, d)))
+
+
+@query("infer_network")
+def _(s, d):
+    return network.infer(ev_symbols(s, d))
+
+
+@query("ksg_nodes")
+def _(s, d):
+    """Nearest-neighbour information that each process's last value has about the target's next, its own last value given."""
+
+    def kernel(m, names, target):
+        m = m.astype(float) + 1e-10 * np.random.default_rng(0).normal(size=m.shape)
+        m = (m - m.mean(0)) / m.std(0)
+        return [{"source": names[p], "target": names[target], "cmi": kernels.ksg(m[1:, target], m[:-1, p], m[:-1, target])} for p in range(len(names)) if p != target]
+
+    return network.per_target(ev_hour(s, d), kernel, "source string, target string, cmi double", "value")
+
+
+@query("granger_var")
+def _(s, d):
+    def kernel(m, names, target):
+        return [dict(zip(("source", "target", "te", "f"), (names[p], names[target], *kernels.granger(m, target, p)), strict=True)) for p in range(len(names)) if p != target]
+
+    return network.per_target(ev_hour(s, d), kernel, "source string, target string, te double, f double", "value")
+
+
+@query("coherence_pairs")
+def _(s, d):
+    def kernel(m, names, target):
+        out = []
+        for p in range(target):
+            f, c = kernels.coherence(m[:, p], m[:, target])
+            out += [{"a": names[p], "b": names[target], "frequency": float(x), "coherence": float(v)} for x, v in zip(f, c, strict=True)]
+        return out
+
+    return network.per_target(ev_hour(s, d), kernel, "a string, b string, frequency double, coherence double", "value")
+
+
+@query("channel_capacity")
+def _(s, d):
+    def run(f):
+        q = f.pivot_table(index="x", columns="y", values="n", fill_value=0, aggfunc="sum").to_numpy(float)
+        return pd.DataFrame({"source": [f["source"].iloc[0]], "target": [f["target"].iloc[0]], "capacity": [kernels.capacity(q / q.sum(1, keepdims=True))]})
+
+    return info.counts(ev_pairs(s, d), EDGE, ["y", "x"]).groupBy("source", "target").applyInPandas(run, "source string, target string, capacity double")
