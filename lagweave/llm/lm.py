@@ -146,9 +146,14 @@ class Lattice:
             beta[i] = total
 
 
+def _lower(word: Column) -> Column:
+    """A-Z alone to lower case: lower() does just that to ASCII; translate(), which is slow, is left to other words with such letters."""
+    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).when(word.rlike("[A-Z]"), F.translate(word, *LOWER)).otherwise(word)
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased words of a text, then the end."""
-    return F.concat(F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), *LOWER), F.lit(WORD), F.lit(0)), F.array(F.lit(END)))
+    return F.concat(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0)), _lower), F.array(F.lit(END)))
 
 
 def score(docs: DataFrame, train: Column, pieces: list[tuple[str, float, str]]) -> DataFrame:
