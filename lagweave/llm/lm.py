@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lagweave.llm.common import WORD, cut
+from lagweave.llm.common import cut
 from lagweave.llm.wfst import META, costs
 
 #: Words with more than 1/HEAVY of all tokens are looked up in a broadcast table, which so has fewer than HEAVY rows whatever the corpus; all others are joined.
@@ -64,7 +64,7 @@ class Lattice:
                 node = self.root
                 for ch in p:
                     node = node.setdefault(ch, {})
-                node[""] = (self.weight[i], i)
+                node[""] = (self.weight[i], i, math.exp(self.weight[i]))
 
     def _arcs(self, s: str) -> list[list[tuple[int, float, object]]]:
         """From each place of a word: (end, log weight, piece id or bytes) of every arc that fits."""
@@ -74,7 +74,7 @@ class Lattice:
             while j < len(s) and (node := node.get(s[j])) is not None:
                 j += 1
                 if (arc := node.get("")) is not None:
-                    here.append((j, *arc))
+                    here.append((j, arc[0], arc[1]))
             if (known := self.fallback.get(ch)) is None:
                 raw = ch.encode("utf-8", "replace")
                 known = self.fallback[ch] = (sum(self.weight[self.byte_id[b]] for b in raw), raw)
@@ -106,9 +106,9 @@ class Lattice:
         if word == END:
             counts[self.end] += times
             return
+        if len(word) < 24:  # far from underflow: plain products
+            return self._expect_plain(META + word, times, counts)
         arcs = self._arcs(META + word)
-        if len(arcs) <= 24:  # far from underflow: plain products
-            return self._expect_plain(arcs, times, counts)
         alpha = self._forward(arcs)
         beta = [0.0] * len(alpha)
         for i in range(len(arcs) - 1, -1, -1):
@@ -124,36 +124,44 @@ class Lattice:
                         counts[self.byte_id[b]] += use
 
 
-    def _expect_plain(self, arcs: list, times: float, counts: list[float]) -> None:
-        n, exp = len(arcs), math.exp
+    def _expect_plain(self, s: str, times: float, counts: list[float]) -> None:
+        n, root, fallback = len(s), self.root, self.fallback
         alpha, beta = [1.0] + [0.0] * n, [0.0] * n + [1.0]
-        plain = [[(j, exp(w), piece) for j, w, piece in here] for here in arcs]
-        for i, here in enumerate(plain):
-            a = alpha[i]
-            for j, p, _ in here:
-                alpha[j] += a * p
+        arcs = []
+        for i, ch in enumerate(s):
+            here, node, j, a = [], root, i, alpha[i]
+            while j < n and (node := node.get(s[j])) is not None:
+                j += 1
+                if (arc := node.get("")) is not None:
+                    alpha[j] += a * arc[2]
+                    here.append((j, arc[2], arc[1]))
+            if (known := fallback.get(ch)) is None:
+                raw = ch.encode("utf-8", "replace")
+                known = fallback[ch] = (sum(self.weight[self.byte_id[b]] for b in raw), raw)
+            p = math.exp(known[0])
+            alpha[i + 1] += a * p
+            arcs.append((here, p, known[1]))
         scale = times / alpha[n]
         for i in range(n - 1, -1, -1):
-            total, a = 0.0, alpha[i] * scale
-            for j, p, piece in plain[i]:
+            here, p, raw = arcs[i]
+            a, q = alpha[i] * scale, p * beta[i + 1]
+            total = q
+            for b in raw:
+                counts[self.byte_id[b]] += a * q
+            for j, p, piece in here:
                 q = p * beta[j]
                 total += q
-                if isinstance(piece, int):
-                    counts[piece] += a * q
-                else:
-                    for b in piece:
-                        counts[self.byte_id[b]] += a * q
+                counts[piece] += a * q
             beta[i] = total
 
 
-def _lower(word: Column) -> Column:
-    """A-Z alone to lower case: lower() does just that to ASCII; translate(), which is slow, is left to other words with such letters."""
-    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).when(word.rlike("[A-Z]"), F.translate(word, *LOWER)).otherwise(word)
-
-
 def tokens(text: Column) -> Column:
-    """Lower-cased words of a text, then the end."""
-    return F.concat(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0)), _lower), F.array(F.lit(END)))
+    """Lower-cased words of a text, then the end. lower() does to ASCII texts what is asked, A-Z alone; translate(), which is slow, is left to the others. Splitting at one plain character needs no regular expression."""
+    text = F.coalesce(text, F.lit(""))
+    text = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, *LOWER))
+    for space in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(space), F.lit(" "))
+    return F.concat(F.array_remove(F.split(text, " "), ""), F.array(F.lit(END)))
 
 
 def score(docs: DataFrame, train: Column, pieces: list[tuple[str, float, str]]) -> DataFrame:
