@@ -5,10 +5,15 @@ text is summed up as word counts over the whole corpus (a word that occurs in
 every document is one row after partial aggregation). Expectation maximisation,
 a few rounds over the most frequent words and one over all training words,
 turns prior scores into piece weights:
-the expected uses of each piece, over all segmentations, plus the prior. The
-probability of a word is then the sum over its segmentations, by a forward
-recursion in log space; a document's is the product over its words and one
-end. Both recursions run once for each distinct word, not for each occurrence.
+the expected uses of each piece, over all segmentations, plus the prior. Each
+distinct word is spelled once, so that the weights suit words not seen before.
+The sum over a word's segmentations comes from a forward recursion in log
+space. Training words are pieces of the lattice too: one more arc spans the
+word, with weight c / (N + theta), and the segmentations into subwords share
+theta / (N + theta). Theta is the value, of a grid, at which all training words
+are likeliest when each occurrence is left out of its own count. A document's
+probability is the product over its words and one end. Both recursions run
+once for each distinct word, not for each occurrence.
 
 The same counts give the base score, an add-0.1 unigram over words.
 
@@ -34,6 +39,8 @@ from lagweave.llm.wfst import META, costs
 HEAVY = 20_000
 #: Rounds over heavy words alone before the one over all words.
 ADD, PRIOR_WEIGHT, ROUNDS = 0.1, 2000.0, 3
+#: Values of theta tried, as multiples of V + 1.
+GRID = [2.0 ** (1 - k) for k in range(14)]
 END = ""
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -164,6 +171,19 @@ def tokens(text: Column) -> Column:
     return F.concat(F.array_remove(F.split(text, " "), ""), F.array(F.lit(END)))
 
 
+def _theta(words: DataFrame, total: int, distinct: int) -> float:
+    """The mass of spelled words, in occurrences: the value of the grid with the best leave-one-out likelihood of all training words."""
+    c, spelled = F.col("c"), F.col("spelled")
+
+    def fit(theta: float) -> Column:
+        left = F.when(c == 1, math.log(theta) + spelled * math.log(10)).otherwise(F.log(c - 1 + theta * F.pow(F.lit(10.0), spelled)))
+        return F.sum(c * (left - math.log(max(total, 1) - 1 + theta)))
+
+    tried = [m * (distinct + 1) for m in GRID]
+    fits = words.where("c > 0").agg(*[fit(t).alias(f"f{k}") for k, t in enumerate(tried)]).first()
+    return max(zip([f if f is not None else 0.0 for f in fits], tried, strict=True), key=lambda p: (round(p[0], 6), p[1]))[1]
+
+
 def score(docs: DataFrame, train: Column, pieces: list[tuple[str, float, str]]) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of `docs`; `train` says which rows to learn from."""
     spark = docs.sparkSession
@@ -173,31 +193,35 @@ def score(docs: DataFrame, train: Column, pieces: list[tuple[str, float, str]])
     sums = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("N"), F.count_if(F.col("c") > 0).alias("V"), F.coalesce(F.sum("n"), F.lit(0)).alias("all")).first()
     heavy = F.col("n") > sums["all"] / HEAVY
     size = len(pieces) + 1
-    lattice, top = Lattice(pieces), [(r.word, float(r.c)) for r in counted.where(heavy & (F.col("c") > 0)).select("word", "c").orderBy("word").collect()]  # fewer than HEAVY rows
+    lattice, top = Lattice(pieces), [r.word for r in counted.where(heavy & (F.col("c") > 0)).select("word").orderBy("word").collect()]  # fewer than HEAVY rows
     for _ in range(ROUNDS):
         gathered = [0.0] * size
-        for w, c in top:
-            lattice.expect(w, c, gathered)
+        for w in top:
+            lattice.expect(w, 1.0, gathered)
         lattice = Lattice(pieces, {i: x for i, x in enumerate(gathered) if x > 0})
     first = spark.sparkContext.broadcast(lattice)
 
     def expected(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = [0.0] * size
         for f in frames:
-            for w, c in zip(f["word"], f["c"], strict=True):
-                first.value.expect(w, float(c), counts)
+            for w in f["word"]:
+                first.value.expect(w, 1.0, counts)
         at = np.flatnonzero(counts)
         yield pd.DataFrame({"piece": at.astype("int32"), "uses": np.array(counts)[at]})
 
-    uses = counted.where("c > 0").select("word", "c").mapInPandas(expected, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses"))
+    uses = counted.where("c > 0").select("word").mapInPandas(expected, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses"))
     model = spark.sparkContext.broadcast(Lattice(pieces, {r.piece: round(r.uses, 6) for r in uses.collect()}))  # at most one row for each piece of the vocabulary
 
     @F.pandas_udf("double")
     def marginal(words: pd.Series) -> pd.Series:
         return words.map(model.value.log_prob).astype("float64") / math.log(10)
 
-    known = counted.select(F.xxhash64("word").alias("h"), (F.col("c") > 0).alias("known"), F.log10((F.col("c") + ADD) / (sums.N + ADD * (sums.V + 1))).alias("base"), marginal("word").alias("lattice"), "n")
+    known = counted.select(F.xxhash64("word").alias("h"), "c", F.log10((F.col("c") + ADD) / (sums.N + ADD * (sums.V + 1))).alias("base"), marginal("word").alias("spelled"), "n")
     known = cut(known)
+    spelled = F.col("spelled")
+    theta = _theta(known, sums.N, sums.V)
+    whole = F.log10("c") + F.log1p(theta / F.col("c") * F.pow(F.lit(10.0), spelled)) / math.log(10)
+    known = known.select("h", (F.col("c") > 0).alias("known"), "base", "n", (F.when(F.col("c") > 0, whole).otherwise(math.log10(theta) + spelled) - math.log10(sums.N + theta)).alias("lattice"))
     often = F.broadcast(known.where(heavy).select("h", "known", "base", "lattice"))
     seldom = known.where(~heavy).select(F.col("h").alias("rh"), F.col("known").alias("rk"), F.col("base").alias("rb"), F.col("lattice").alias("rl")).hint("shuffle_hash")
     # rows are told apart by an internal number; a word looked up in the broadcast table goes to a partition by row, not by word

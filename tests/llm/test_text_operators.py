@@ -122,6 +122,19 @@ def test_lm_base_score_and_totals(spark):
         assert r.score < 0
 
 
+def test_lm_theta_is_the_best_of_the_grid(spark):
+    rows = [(9, -3.0), (4, -2.5), (1, -4.0), (1, -3.5), (2, -400.0), (0, -5.0)]
+    words = spark.createDataFrame(rows, "c long, spelled double")
+    n, v = sum(c for c, _ in rows), 5
+
+    def left_out(theta):
+        each = [(c, math.log(theta) + s * math.log(10) if c == 1 else math.log(c - 1 + theta * 10**s)) for c, s in rows if c]
+        return sum(c * (x - math.log(n - 1 + theta)) for c, x in each)
+
+    assert lm._theta(words, n, v) == max((m * (v + 1) for m in lm.GRID), key=left_out)
+    assert lm._theta(words.where("c < 0"), 0, 0) > 0
+
+
 def test_lm_edges(spark):
     pieces = wfst.read_pieces()
     rows = lm.score(edge_docs(spark), F.lit(True), pieces).collect()
