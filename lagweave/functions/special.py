@@ -17,6 +17,15 @@ def digamma(x: Column) -> Column:
     return near
 
 
+def lgamma(x: Column) -> Column:
+    """Logarithm of the gamma function: recurrence to x + 8, then Stirling's series."""
+    y = x + 8
+    near = (y - 0.5) * F.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
+    for k in range(8):
+        near = near - F.log(x + k)
+    return near
+
+
 def harmonic(n: Column) -> Column:
     """1 + 1/2 + ... + 1/n; 0 for n = 0."""
     return digamma(n + 1.0) + EULER

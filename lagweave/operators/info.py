@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagweave.functions.special import digamma, harmonic, xlog2x
+from lagweave.functions.special import digamma, harmonic, lgamma, xlog2x
 
 LN2 = 0.6931471805599453
 
@@ -66,3 +66,30 @@ def conditional_mi(table: DataFrame, keys: list[str], y: str = "y", x: str = "x"
     plugin = (F.col("s_yxw") + F.col("s_w") - F.col("s_yw") - F.col("s_xw")) / F.col("N")
     correction = (F.col("k_yw") + F.col("k_xw") - F.col("k_yxw") - F.col("k_w")) / (2 * F.col("N") * LN2)
     return agg.select(*keys, "N", plugin.alias("cmi"), (plugin + correction).alias("cmi_mm"))
+
+
+def more_entropies(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Jackknife and James-Stein shrinkage entropies in bits, from the counts n of occupied cells."""
+    n, big = F.col("n").cast("double"), F.col("total").cast("double")
+    total = cells.groupBy(*keys).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("K"), F.sum(xlog2x(n)).alias("s"), F.sum(n * n).alias("squares"))
+    rows = cells.join(total, keys)
+    left = F.when(big > 1, F.log2(big - 1) - (F.col("s") - xlog2x(n) + xlog2x(n - 1)) / (big - 1)).otherwise(0.0)
+    squares, k = F.col("squares") / big**2, F.col("K")
+    weight = F.when((k > 1) & (big > 1) & (squares > 1 / k), F.least(F.lit(1.0), (1 - squares) / ((big - 1) * (squares - 1 / k)))).otherwise(1.0)
+    p = weight / k + (1 - weight) * n / big
+    out = rows.groupBy(*keys, "total", "s").agg(F.sum(n * left).alias("left"), F.sum(-p * F.log2(p)).alias("shrink"))
+    return out.select(*keys, (big * (F.log2(big) - F.col("s") / big) - (big - 1) / big * F.col("left")).alias("jackknife"), "shrink")
+
+
+def log_bayes_factor(table: DataFrame, keys: list[str], levels: int, ess: float = 1.0) -> DataFrame:
+    """Log evidence (nats) that x helps to predict y given w, from counts n of (y, x, w): the closed form for Dirichlet priors of equal total weight, over the occupied contexts."""
+
+    def evidence(context: list[str], name: str) -> DataFrame:
+        cells = table.groupBy(*keys, *context, "y").agg(F.sum("n").alias("n"))
+        rows = cells.groupBy(*keys, *context).agg(F.collect_list("n").alias("ns"), F.sum("n").alias("n"))
+        rows = rows.withColumn("a", ess / F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+        cell = F.aggregate("ns", F.lit(0.0), lambda s, m: s + lgamma(F.col("a") / levels + m) - lgamma(F.col("a") / levels))
+        return rows.groupBy(*keys).agg(F.sum(lgamma(F.col("a")) - lgamma(F.col("a") + F.col("n")) + cell).alias(name))
+
+    both = evidence(["x", "w"], "full").join(evidence(["w"], "part"), keys)
+    return both.select(*keys, (F.col("full") - F.col("part")).alias("log_bf"))
