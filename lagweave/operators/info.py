@@ -93,3 +93,19 @@ def log_bayes_factor(table: DataFrame, keys: list[str], levels: int, ess: float
 
     both = evidence(["x", "w"], "full").join(evidence(["w"], "part"), keys)
     return both.select(*keys, (F.col("full") - F.col("part")).alias("log_bf"))
+
+
+def o_information_rate(realizations: DataFrame, keys: list[str], now: list[str], past: list[str]) -> DataFrame:
+    """O-information of whole blocks (now and past of each process) less that of the pasts alone, in bits, all marginals from one aggregation; above 0 redundancy prevails, below 0 synergy."""
+    m = len(now)
+    sets, signs = {}, {}
+    for name, block, outer in (("b", [[a, b] for a, b in zip(now, past, strict=True)], 1), ("p", [[b] for b in past], -1)):
+        chosen = {f"{name}_all": (list(range(m)), m - 2)} | {f"{name}_only{j}": ([j], 1) for j in range(m)} | {f"{name}_not{j}": ([k for k in range(m) if k != j], -1) for j in range(m)}
+        for k, (members, sign) in chosen.items():
+            sets[k], signs[k] = [c for v in members for c in block[v]], outer * sign
+    cells = marginals(counts(realizations, keys, [*now, *past]), keys, sets)
+    sign = F.create_map(*[F.lit(v) for k in signs for v in (k, float(signs[k]))])[F.col("part")]
+    n = F.col("n").cast("double")
+    total = F.sum(F.when(F.col("part") == "b_all", F.col("n")))
+    # the coefficients of blocks and pasts add up alike, so the logarithms of the total cancel
+    return cells.groupBy(*keys).agg(total.alias("N"), (-F.sum(sign * xlog2x(n)) / total).alias("rate"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lagweave.operators import adaptive, align, decide, families, info, machine, network, pid, regimes, spectral
 from lagweave.plans.catalogue import _NEEDS, _SQL, ev_hour, ev_pairs, ev_symbols, query
+from lagweave.sources.tables import table
 
 _SQL["lag0"] = "lag0 AS (SELECT a.process AS i, b.process AS j, a.code AS y, b.code AS x, wa.code AS wi, wb.code AS wj FROM sym a JOIN sym b ON a.trial = b.trial AND a.t = b.t AND a.process < b.process JOIN sym wa ON wa.trial = a.trial AND wa.process = a.process AND wa.t = a.t - 1 JOIN sym wb ON wb.trial = b.trial AND wb.process = b.process AND wb.t = b.t - 1)"
 
@@ -36,6 +37,41 @@ def lag0_exchange(s: SparkSession, d: str) -> DataFrame:
     return info.conditional_mi(cells, ["i", "j"], w=["wi", "wj"]).select("i", "j", "N", F.round("cmi", 9).alias("cmi"))
 
 
+_SQL["tri"] = """tri AS (SELECT a.process AS a, b.process AS b, c.process AS c, a.code AS an, b.code AS bn, c.code AS cn, wa.code AS ap, wb.code AS bp, wc.code AS cp
+    FROM sym a JOIN sym b ON a.trial = b.trial AND a.t = b.t AND a.process < b.process JOIN sym c ON a.trial = c.trial AND a.t = c.t AND b.process < c.process
+    JOIN sym wa ON wa.trial = a.trial AND wa.process = a.process AND wa.t = a.t - 1 JOIN sym wb ON wb.trial = b.trial AND wb.process = b.process AND wb.t = b.t - 1 JOIN sym wc ON wc.trial = c.trial AND wc.process = c.process AND wc.t = c.t - 1)"""
+_NEEDS["tri"] = ["sym"]
+
+
+def _rate_sql() -> str:
+    """A row for each cell of each marginal with its sign, summed up."""
+    rows = []
+    for outer, ends in ((1, "np"), (-1, "p")):
+        for members, sign in (("abc", 1), ("a", 1), ("b", 1), ("c", 1), ("bc", -1), ("ac", -1), ("ab", -1)):
+            rows.append(f"SELECT a, b, c, {outer * sign} AS sign, count(*) AS n FROM tri GROUP BY a, b, c, {', '.join(m + e for m in members for e in ends)}")
+    return f"SELECT a, b, c, max(total)::BIGINT AS \"N\", round(-sum(sign * n * log2(n)) / max(total), 9) AS rate FROM ({' UNION ALL '.join(rows)}) JOIN (SELECT a, b, c, count(*) AS total FROM tri GROUP BY ALL) USING (a, b, c) GROUP BY a, b, c"
+
+
+@query("o_information_rate", _rate_sql(), ("tri",))
+def o_information_rate(s: SparkSession, d: str) -> DataFrame:
+    symbols = ev_symbols(s, d)
+    before = symbols.select("trial", "process", (F.col("t") + 1).alias("t"), F.col("code").alias("p"))
+    one = symbols.join(before, ["trial", "process", "t"])
+    a, b, c = (one.select("trial", "t", F.col("process").alias(x), F.col("code").alias(f"{x}n"), F.col("p").alias(f"{x}p")) for x in "abc")
+    triples = a.join(b, ["trial", "t"]).where("a < b").join(c, ["trial", "t"]).where("b < c")
+    return info.o_information_rate(triples, ["a", "b", "c"], ["an", "bn", "cn"], ["ap", "bp", "cp"]).select("a", "b", "c", "N", F.round("rate", 9).alias("rate"))
+
+
+@query(
+    "rate_scaling",
+    "SELECT l_returnflag AS flag, count(*) AS n, round(regr_slope(ln(l_extendedprice), ln(l_quantity)), 8) AS slope FROM lineitem WHERE l_quantity > 0 AND l_extendedprice > 0 GROUP BY 1",
+)
+def rate_scaling(s: SparkSession, d: str) -> DataFrame:
+    """The exponent by which one quantity scales with another: the slope of their logarithms."""
+    rows = table(s, d, "lineitem").where("l_quantity > 0 and l_extendedprice > 0")
+    return rows.groupBy(F.col("l_returnflag").alias("flag")).agg(F.count(F.lit(1)).alias("n"), F.round(F.regr_slope(F.log("l_extendedprice"), F.log("l_quantity")), 8).alias("slope"))
+
+
 @query(
     "entropy_jackknife_shrink",
     """SELECT process, round(max(nn) * (log2(max(nn)) - max(s) / max(nn)) - (max(nn) - 1) / max(nn) * sum(n * (log2(nn - 1) - (s - n * log2(n) + CASE WHEN n > 1 THEN (n - 1) * log2(n - 1) ELSE 0 END) / (nn - 1))), 6) AS jackknife,

@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 
-from lagweave.operators import adaptive, families, machine, pid, regimes, spectral
+from lagweave.operators import adaptive, families, info, machine, pid, regimes, spectral
 
 
 def gate(f):
@@ -122,3 +122,15 @@ def test_regimes_are_found(spark):
     symbols = spark.createDataFrame([(0, t, "p", v) for t, v in enumerate(x)], "trial long, t long, process string, code int")
     got = {r.window: r.regime for r in regimes.infer(symbols, window=100).collect()}
     assert [got[k] for k in range(12)] == [1] * 3 + [0] * 3 + [1] * 3 + [0] * 3
+
+
+def test_o_information_rate_of_copies_and_parity(spark):
+    """Three copies of a fair coin carry one bit of redundancy a step, a parity of two coins one bit of synergy."""
+    rng = np.random.default_rng(0)
+    x, y = rng.integers(0, 2, (2, 4001))
+    rows = []
+    for key, cols in (("copy", (x, x, x)), ("parity", (x, y, x ^ y))):
+        for t in range(1, 4001):
+            rows.append((key, *[int(c[t]) for c in cols], *[int(c[t - 1]) for c in cols]))
+    got = {r.k: r.rate for r in info.o_information_rate(spark.createDataFrame(rows, "k string, a int, b int, c int, pa int, pb int, pc int"), ["k"], ["a", "b", "c"], ["pa", "pb", "pc"]).collect()}
+    assert abs(got["copy"] - 1) < 0.01 and abs(got["parity"] + 1) < 0.01
