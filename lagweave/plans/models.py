@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagweave.operators import adaptive, align, decide, families, info, machine, network, pid, regimes, spectral
+from lagweave.operators import adaptive, align, decide, families, info, machine, network, pid, posterior, regimes, spectral
 from lagweave.plans.catalogue import _NEEDS, _SQL, ev_hour, ev_pairs, ev_symbols, query
 from lagweave.sources.tables import table
 
@@ -141,6 +141,11 @@ def pid_hypergraph(s: SparkSession, d: str) -> DataFrame:
     return pid.hypergraph(pid.hyperedges(source_pairs(s, d), "mmi", draws=0))
 
 
+@query("layer_posterior")
+def layer_posterior(s: SparkSession, d: str) -> DataFrame:
+    return posterior.layer_posterior(info.counts(ev_pairs(s, d), ["source", "target"], ["y", "x", "w"]))
+
+
 @query("epsilon_machines")
 def epsilon_machines(s: SparkSession, d: str) -> DataFrame:
     return machine.machines(ev_symbols(s, d))

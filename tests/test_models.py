@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 
-from lagweave.operators import adaptive, families, info, machine, pid, regimes, spectral
+from lagweave.operators import adaptive, families, info, machine, pid, posterior, regimes, spectral
 
 
 def gate(f):
@@ -134,3 +134,12 @@ def test_o_information_rate_of_copies_and_parity(spark):
             rows.append((key, *[int(c[t]) for c in cols], *[int(c[t - 1]) for c in cols]))
     got = {r.k: r.rate for r in info.o_information_rate(spark.createDataFrame(rows, "k string, a int, b int, c int, pa int, pb int, pc int"), ["k"], ["a", "b", "c"], ["pa", "pb", "pc"]).collect()}
     assert abs(got["copy"] - 1) < 0.01 and abs(got["parity"] + 1) < 0.01
+
+
+def test_posterior_of_layers(spark):
+    """A source copied by the target is intrinsic flow; the parity of source and past is synergistic."""
+    for kind, f in (("intrinsic", lambda x, w: x), ("synergistic", lambda x, w: x ^ w)):
+        rows = [("s", "t", f(x, w), x, w, 400) for x in (0, 1) for w in (0, 1)]
+        r = posterior.layer_posterior(spark.createDataFrame(rows, "source string, target string, y int, x int, w int, n long"), size=20).first()
+        assert r.N == 1600 and r[f"{kind}_low"] <= r[f"{kind}_mean"] <= r[f"{kind}_high"] and r[f"{kind}_mean"] > 0.95
+        assert r.shared_dominant is False or r.intrinsic_mean < 0.01
