@@ -68,6 +68,11 @@ def ev_hour(spark: SparkSession, d: str) -> DataFrame:
     return series.binned(table(spark, d, "events"), F.count(F.lit(1)).cast("double"))
 
 
+def ev_spikes(spark: SparkSession, d: str) -> DataFrame:
+    since = F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.lit(series.EPOCH).cast("timestamp"))
+    return table(spark, d, "events").select(F.col("event_type").alias("neuron"), since.cast("double").alias("ts"))
+
+
 def ev_value(spark: SparkSession, d: str) -> DataFrame:
     return series.binned(table(spark, d, "events"), F.avg("value"), empty=None)
 
@@ -109,8 +114,16 @@ def _(s, d):
     "SELECT p.neuron AS process, b.t, coalesce(c.n, 0)::BIGINT AS n FROM (SELECT DISTINCT event_type AS neuron FROM events) p, (SELECT unnest(range(0, 1440)) AS t) b LEFT JOIN (SELECT event_type AS neuron, floor(date_diff('second', TIMESTAMP '2024-01-01', ts) / 600.0 + 1e-9)::BIGINT AS t, count(*) AS n FROM events GROUP BY ALL) c ON c.neuron = p.neuron AND c.t = b.t",
 )
 def _(s, d):
-    spikes = table(s, d, "events").select(F.col("event_type").alias("neuron"), (F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.lit(series.EPOCH).cast("timestamp"))).cast("double").alias("ts"))
-    return series.spike_bins(spikes, 600.0, 0.0, 864000.0)
+    """The first ten days of the events only, as the SQL has it; spike_bin_whole bins all of them."""
+    return series.spike_bins(ev_spikes(s, d), 600.0, 0.0, 864000.0)
+
+
+@query(
+    "spike_bin_whole",
+    "SELECT p.neuron AS process, b.t, coalesce(c.n, 0)::BIGINT AS n FROM (SELECT DISTINCT event_type AS neuron FROM events) p, (SELECT unnest(range(0, (SELECT greatest(ceil(max(date_diff('second', TIMESTAMP '2024-01-01', ts)) / 600.0 + 1 - 1e-9), 1)::BIGINT FROM events))) AS t) b LEFT JOIN (SELECT event_type AS neuron, floor(date_diff('second', TIMESTAMP '2024-01-01', ts) / 600.0 + 1e-9)::BIGINT AS t, count(*) AS n FROM events GROUP BY ALL) c ON c.neuron = p.neuron AND c.t = b.t",
+)
+def _(s, d):
+    return series.spike_bins(ev_spikes(s, d), 600.0)
 
 
 @query(

@@ -26,12 +26,19 @@ def binned(events: DataFrame, value: Column, n: int = HOURS, empty: float | None
     return dense.select(F.lit(0).cast("long").alias("trial"), "t", "process", F.coalesce("value", F.lit(empty).cast("double")).alias("value") if empty is not None else F.col("value").cast("double"))
 
 
-def spike_bins(spikes: DataFrame, dt: float, start: float, stop: float) -> DataFrame:
-    """Spikes (neuron, ts) counted in bins of width dt; those outside the window are dropped, empty bins kept."""
-    n = int(round((stop - start) / dt))
+def spike_bins(spikes: DataFrame, dt: float, start: float = 0.0, stop: float | None = None) -> DataFrame:
+    """Spikes (neuron, ts) counted in bins of width dt; those outside the window are dropped, empty bins kept. Without `stop` the window ends dt after the last spike."""
+    neurons = spikes.select(F.col("neuron").alias("process"))
+    if stop is None:
+        last = spikes.agg(F.ceil((F.max("ts") + dt - start) / dt - 1e-9).alias("n")).select(F.greatest("n", F.lit(1)).alias("n"))
+        dense = neurons.distinct().crossJoin(F.broadcast(last)).select("process", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("t"))
+        inside = F.col("ts") >= start
+    else:
+        dense = spine(neurons, int(round((stop - start) / dt)))
+        inside = (F.col("ts") >= start) & (F.col("ts") < stop)
     k = F.floor((F.col("ts") - start) / dt + 1e-9)
-    counts = spikes.where((F.col("ts") >= start) & (F.col("ts") < stop)).select(F.col("neuron").alias("process"), k.alias("t")).where(F.col("t").between(0, n - 1)).groupBy("process", "t").agg(F.count(F.lit(1)).alias("n"))
-    return spine(spikes.select(F.col("neuron").alias("process")), n).join(counts, ["process", "t"], "left").select("process", "t", F.coalesce("n", F.lit(0)).alias("n"))
+    counts = spikes.where(inside).select(F.col("neuron").alias("process"), k.alias("t")).groupBy("process", "t").agg(F.count(F.lit(1)).alias("n"))
+    return dense.join(counts, ["process", "t"], "left").select("process", "t", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def split_gaps(samples: DataFrame, least: int) -> DataFrame:

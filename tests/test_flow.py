@@ -114,6 +114,18 @@ def test_spike_bins_and_gaps(spark):
     assert {r.t: r.value for r in series.interpolate(samples).collect()} == {0: 1.0, 1: 1.5, 2: 2.0, 3: 3.0, 4: 4.0, 5: None}
 
 
+def test_spike_bins_reach_the_last_spike(spark):
+    spikes = spark.createDataFrame([("a", 0.0), ("a", 7.0), ("b", 10.0)], "neuron string, ts double")
+    got = {(r.process, r.t): r.n for r in series.spike_bins(spikes, 5.0).collect()}
+    assert len(got) == 6 and {k: v for k, v in got.items() if v} == {("a", 0): 1, ("a", 1): 1, ("b", 2): 1}
+    assert series.spike_bins(spikes.where("false"), 5.0).count() == 0
+
+
+def test_spike_bin_whole_counts_every_event(spark):
+    rows = catalogue.QUERIES["spike_bin_whole"](spark, SF).collect()
+    assert sum(r.n for r in rows) == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
 def test_windows_do_not_cross_trials(spark):
     rows = [(k, t, "x", float(t % 5)) for k in (0, 1) for t in range(10 + 5 * k)]
     got = encode.ordinal(spark.createDataFrame(rows, "trial long, t long, process string, value double"), 3, 2).collect()
