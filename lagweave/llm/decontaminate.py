@@ -1,19 +1,18 @@
-"""Benchmark decontamination by CGK embedding, bit-sampling LSH and exact edit distance.
+"""Benchmark decontamination by q-gram counts along diagonals and exact edit distance.
 
 The items are a stated query set, taken in blocks; documents stream past each
-block. Runs of SEED code points that a document shares with an item propose
-item-sized windows of the document, at the offset the run has in the item. A
-window and its item are embedded by the same random walks (Chakraborty,
-Goldenberg and Koucky 2016), under which few edits become few differing places;
-tables of sampled places let a pair through if all places of any table agree,
-as many tables as reach the target recall for the assumed share of differing
-places. What passes is verified by Myers' bit-parallel edit distance between
-the item and any part of the document around the window.
+block. Of the n - q + 1 q-grams of an item an edit spoils at most q, and e edits
+leave the others on e + 1 neighbouring diagonals (place in the document less
+place in the item). So a document that holds an item with at most e edits has
+n - q + 1 - q * e of its q-grams or more on those diagonals; where a band of
+bins of diagonals has as many, the text around it is verified by Myers'
+bit-parallel edit distance between the item and any part of it (in Hyyro's
+blocks of 64 bits). No item within the edits is missed: neither step samples.
 
 Letters are compared in lower case, white space as spaces. A document is
 reported once for each item with the least distance and, of those, the first
 place. Null and empty texts match nothing; nor do empty items; items shorter
-than SEED must occur as they are. Repeated rows are reported once for each;
+than SHORT must occur as they are. Repeated rows are reported once for each;
 items of one text are reported separately.
 """
 
@@ -29,13 +28,13 @@ from pyspark.sql import functions as F
 
 #: Edits allowed, as a share of an item's length.
 RATE = 0.2
-SEED, BIN = 14, 8
-#: Walks, places of a table, the share of differing places assumed for a pair at the threshold, and the recall wanted for it.
-WALKS, PLACES, DIFFER, RECALL = 3, 4, 0.45, 0.99
+SHORT = 14
+#: Longest q-gram, and diagonals of a bin as a power of two. Buckets of q-grams, as a power of two: one that several share only adds to counts.
+GRAM, BIN, BUCKETS = 4, 3, 20
 #: Code points of the items of one block at most: what an executor holds of the query set.
 BLOCK_CHARS = 250_000
-#: Windows that are embedded together at most.
-BATCH = 20_000
+#: Code points of documents that are searched together, and counted together; stretches of text verified together, and new places of one.
+BATCH, CHUNK, LANES, STRETCH = 4_000_000, 16_384, 4096, 1024
 SPACES = "\t\n\x0b\x0c\r"
 
 
@@ -46,29 +45,6 @@ def plain(text: str) -> str:
     return text
 
 
-def tables() -> int:
-    """Tables for each walk, so that all together reach RECALL."""
-    return math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - DIFFER) ** PLACES) / WALKS)
-
-
-def embed(strings: list[str], length: int, walk: int) -> np.ndarray:
-    """CGK walks over strings: (strings, 3 * length) characters, 0 beyond an end."""
-    rng = np.random.default_rng(1000 + walk)
-    steps = 3 * length
-    move = rng.integers(0, 2, (steps, 256), dtype=np.int64)
-    chars = np.zeros((len(strings), length + 1), np.uint16)
-    for k, s in enumerate(strings):
-        codes = np.frombuffer(s[:length].encode("utf-16-le", "replace"), np.uint16)[:length]
-        chars[k, : len(codes)] = codes
-    at, rows = np.zeros(len(strings), np.int64), np.arange(len(strings))
-    out = np.zeros((steps, len(strings)), np.uint16)
-    for j in range(steps):
-        c = chars[rows, at]
-        out[j] = c
-        at = np.minimum(at + move[j][c & 255], length)
-    return out.T
-
-
 def edit_distance(item: str, region: str) -> tuple[int, int]:
     """The least edit distance between `item` and any part of `region`, and where such a part ends (Myers 1999)."""
     n = len(item)
@@ -90,8 +66,113 @@ def edit_distance(item: str, region: str) -> tuple[int, int]:
     return best, end
 
 
+def points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def search(x: np.ndarray, masks: np.ndarray, base: np.ndarray, size: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """edit_distance() for many items and parts x[begin:end] side by side, longest part first; a part's masks are at its `base` plus the letter."""
+    words, one = len(masks), np.uint64(1)
+    top = ((size - 1) % 64).astype(np.uint64)
+    up, down = np.full((words, len(size)), ~np.uint64(0)), np.zeros((words, len(size)), np.uint64)
+    score, best, where, at = size.copy(), size.copy(), begin.copy(), begin.copy()
+    steps = int((end - begin).max(initial=0))
+    active = np.searchsorted(begin - end, -np.arange(steps), side="left")
+    for t in range(steps):
+        a = active[t]
+        cell = base[:a] + x[at[:a]]
+        at[:a] += 1
+        gain = loss = np.uint64(0)
+        for w in range(words):
+            p, m = up[w, :a], down[w, :a]
+            eq = masks[w].take(cell)
+            xv = eq | m
+            eq |= loss
+            xh = eq & p
+            xh += p
+            xh ^= p
+            xh |= eq
+            grow = xh | p
+            np.invert(grow, out=grow)
+            grow |= m
+            xh &= p
+            g, s = (grow >> np.uint64(63), xh >> np.uint64(63)) if w + 1 < words else (grow >> top[:a] & one, xh >> top[:a] & one)
+            grow <<= one
+            grow |= gain
+            xh <<= one
+            xh |= loss
+            np.bitwise_and(grow, xv, out=m)
+            grow |= xv
+            np.invert(grow, out=grow)
+            np.bitwise_or(xh, grow, out=p)
+            gain, loss = g, s
+        score[:a] += gain.view(np.int64) - loss.view(np.int64)
+        better = np.flatnonzero(score[:a] < best[:a])
+        best[better] = score[better]
+        where[better] = at[better]
+    return best, where
+
+
+class Grams:
+    """The q-grams of some items by bucket, and the counts that tell where an item may be."""
+
+    def __init__(self, q: int, which: np.ndarray, codes: list[np.ndarray], edits: np.ndarray):
+        self.q, self.which, self.edits = q, which, edits
+        self.sizes = np.array([len(codes[k]) for k in which])
+        self.least = self.sizes - q + 1 - q * edits
+        self.band = -(-edits // (1 << BIN)) + 1  # bins that cover edits + 1 diagonals wherever they begin
+        self.reach = int((self.sizes + edits).max())
+        self.off = (-(-int(self.sizes.max()) >> BIN) + 1) << BIN
+        self.bins = ((CHUNK + self.reach + self.off) >> BIN) + 2
+        bucket = [self.buckets(codes[k]) for k in which]
+        flat = np.concatenate(bucket)
+        place = np.concatenate([r * (self.bins << BIN) + self.off - np.arange(len(x)) for r, x in enumerate(bucket)])
+        order = np.argsort(flat, kind="stable")
+        self.place = place[order]
+        self.count = np.bincount(flat, minlength=(1 << BUCKETS) + 1)
+        self.first = np.cumsum(self.count) - self.count
+        self.count[-1] = 0
+
+    def buckets(self, x: np.ndarray) -> np.ndarray:
+        """The bucket of the q-gram at each place; the last one, which is empty, for those with characters of no item."""
+        m = max(0, len(x) - self.q + 1)
+        h, known = np.zeros(m, np.uint64), np.ones(m, bool)
+        for k in range(self.q):
+            y = x[k : k + m]
+            h = h * np.uint64(0x9E3779B97F4A7C15) + y.astype(np.uint64)
+            known &= y > 0
+        h = (h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BUCKETS)
+        return np.where(known, h.astype(np.int64), 1 << BUCKETS)
+
+    def regions(self, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(item, from, to) of parts of x, which hold all places of items within their edits."""
+        for at in range(0, len(x), CHUNK):
+            low = max(0, at - self.reach)
+            part = self.buckets(x[low : at + CHUNK])
+            count = self.count[part]
+            j = np.flatnonzero(count)
+            count = count[j]
+            entry = np.repeat(self.first[part[j]] - (np.cumsum(count) - count), count)
+            entry += np.arange(len(entry))
+            key = self.place[entry]
+            key += np.repeat(j, count)
+            key >>= BIN
+            sums = np.zeros((len(self.which), self.bins + 1), np.int32)
+            np.cumsum(np.bincount(key, minlength=len(self.which) * self.bins).reshape(-1, self.bins), axis=1, out=sums[:, 1:])
+            for band in np.unique(self.band):
+                rows = np.flatnonzero(self.band == band)
+                r, c = np.nonzero(sums[rows, band:] - sums[rows, :-band] >= self.least[rows, None])
+                if not len(r):
+                    continue
+                k = rows[r]
+                begin = (c << BIN) - self.off + low
+                end = begin + (band << BIN) + self.sizes[k]
+                new = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (begin[1:] > end[:-1])])
+                yield self.which[k[new]], begin[new], end[np.r_[new[1:], len(k)] - 1]
+
+
 class Block:
-    """Items with their seeds and embeddings; seeds are indexed by a worker when first used."""
+    """Items with their q-grams and bit masks, which a worker makes when they are first used."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
         self.items = [(k, plain(t)) for k, t in items if t]
@@ -102,72 +183,91 @@ class Block:
         return {**self.__dict__, "_ready": None}
 
     def _index(self):
-        import ahocorasick
-
         if self._ready is None:
-            places: dict[str, list[tuple[int, int]]] = {}
-            for k, (_, t) in enumerate(self.items):
-                q = min(SEED, len(t))
-                for i in range(len(t) - q + 1):
-                    places.setdefault(t[i : i + q], []).append((k, i))
-            machine = ahocorasick.Automaton()
-            for s, at in places.items():
-                machine.add_word(s, (len(s), at))
-            machine.make_automaton()
-            length = max(len(t) for _, t in self.items)
-            rng = np.random.default_rng(5)
-            sketch = [embed([t for _, t in self.items], length, w) for w in range(WALKS)]
-            picks = rng.random((WALKS, tables(), PLACES))
-            self._ready = machine, length, sketch, picks
+            letters = np.zeros(0x110000, np.int32)
+            seen = sorted({ord(c) for _, t in self.items for c in t})
+            letters[seen] = np.arange(1, len(seen) + 1)
+            codes = [letters[points(t)] for _, t in self.items]
+            sizes = np.array([len(c) for c in codes])
+            edits = np.where(sizes >= SHORT, (self.rate * sizes).astype(int), 0)
+            q = np.zeros(len(sizes), int)
+            for k in range(1, GRAM + 1):
+                q[sizes - k + 1 - k * edits > 0] = k
+            grams = [Grams(k, np.flatnonzero(q == k), codes, edits[q == k]) for k in np.unique(q[q > 0])]
+            words, masks = -(-sizes // 64), {}
+            for w in np.unique(words):
+                rows = np.flatnonzero(words == w)
+                m = np.zeros((w, len(rows), len(seen) + 1), np.uint64)
+                for r, k in enumerate(rows):
+                    i = np.arange(sizes[k])
+                    np.bitwise_or.at(m, (i // 64, r, codes[k]), np.uint64(1) << (i % 64).astype(np.uint64))
+                masks[w] = rows, m.reshape(w, -1)
+            self._ready = letters, sizes, edits, np.flatnonzero(q == 0), grams, words, masks
         return self._ready
 
-    def _let_through(self, windows: list[tuple[int, int, int]], clean: list[str]) -> np.ndarray:
-        """Whether any table of any walk has a window (item, row, start) and its item agree."""
-        _, length, sketch, picks = self._index()
-        which = np.array([k for k, _, _ in windows])
-        sizes = np.array([len(self.items[k][1]) for k, _, _ in windows])
-        strings = [clean[r][max(0, start) : max(0, start) + n] for (_, r, start), n in zip(windows, sizes, strict=True)]
-        passed = np.array([s == self.items[k][1] for s, k in zip(strings, which, strict=True)], bool)
-        for w in range(WALKS):
-            rest = np.flatnonzero(~passed)
-            if not len(rest):
-                break
-            same = embed([strings[x] for x in rest], length, w) == sketch[w][which[rest]]
-            places = (picks[w][None] * (3 * sizes[rest])[:, None, None]).astype(int)
-            passed[rest] = np.take_along_axis(same[:, None], places, axis=2).all(axis=2).any(axis=1)
-        return passed
+    def _verify(self, x: np.ndarray, item: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The least edit distance between each item and any part of x[begin:end], and where the first such part ends."""
+        _, sizes, _, _, _, words, masks = self._index()
+        best, where = sizes[item].copy(), begin.copy()
+        for w, (rows, m) in masks.items():
+            mine = np.flatnonzero(words[item] == w)
+            mine = mine[np.argsort(begin[mine] - end[mine], kind="stable")]  # longest first
+            for i in range(0, len(mine), LANES):
+                part = mine[i : i + LANES]
+                best[part], where[part] = search(x, m, np.searchsorted(rows, item[part]) * (m.shape[1] // len(rows)), sizes[item[part]], begin[part], end[part])
+        return best, where
 
     def match(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
         """(row, item, distance, start) of matching pairs."""
+        out: list[tuple[int, int, int, int]] = []
         if not self.items:
+            return out
+        rows, held, size = [], [], 0
+        for r, t in enumerate(texts):
+            if t:
+                rows.append(r)
+                held.append(plain(t))
+                size += len(held[-1])
+                if size > BATCH:
+                    out += self._match(rows, held)
+                    rows, held, size = [], [], 0
+        return out + (self._match(rows, held) if held else [])
+
+    def _match(self, rows: list[int], texts: list[str]) -> list[tuple[int, int, int, int]]:
+        letters, sizes, edits, rest, grams, _, _ = self._index()
+        x = letters[points("".join(texts))]
+        stops = np.cumsum([len(t) for t in texts])
+        starts = stops - [len(t) for t in texts]
+        found = [g for gram in grams for g in gram.regions(x)]
+        if len(rest):  # so many edits that q-grams tell nothing
+            found.append((np.repeat(rest, len(texts)), np.tile(starts, len(rest)), np.tile(stops, len(rest))))
+        if not found:
             return []
-        machine = self._index()[0]
-        proposed: dict[tuple[int, int, int], int] = {}
-        clean = [plain(t) if t else "" for t in texts]
-        for r, text in enumerate(clean):
-            for end, (q, at) in machine.iter(text):
-                for k, i in at:
-                    start = end - q + 1 - i
-                    proposed.setdefault((k, r, start // BIN), start)
-        windows = [(k, r, start) for (k, r, _), start in proposed.items()]
-        out: dict[tuple[int, int], tuple[int, int]] = {}
-        for i in range(0, len(windows), BATCH):
-            part = windows[i : i + BATCH]
-            for (k, r, start), through in zip(part, self._let_through(part, clean), strict=True):
-                item = self.items[k][1]
-                n = len(item)
-                most = int(self.rate * n) if n >= SEED else 0
-                if not through or ((found := out.get((r, k))) and found[0] == 0 and found[1] <= start):
-                    continue
-                if clean[r].startswith(item, max(0, start)):
-                    d, at = 0, max(0, start)
-                else:
-                    low = max(0, start - most - BIN)
-                    d, end = edit_distance(item, clean[r][low : start + n + most + BIN])
-                    at = max(0, low + end - n)
-                if d <= most and ((r, k) not in out or (d, at) < out[r, k]):
-                    out[r, k] = (d, at)
-        return [(r, k, d, at) for (r, k), (d, at) in out.items()]
+        item, begin, end = (np.concatenate(c) for c in zip(*found, strict=True))
+        begin, end = begin.clip(0), end.clip(max=len(x))
+        # one for each text, cut to it
+        doc = np.searchsorted(stops, begin, side="right")
+        n = np.maximum(np.searchsorted(stops, end, side="left") - doc + 1, 1)
+        item, begin, end, doc, n = _each(n, item, begin, end, doc)
+        doc = doc + n
+        begin, end = np.maximum(begin, starts[doc]), np.minimum(end, stops[doc])
+        # one for each stretch of it
+        item, begin, end, doc, n = _each(np.maximum(-(-(end - begin) // STRETCH), 1), item, begin, end, doc)
+        begin = begin + n * STRETCH
+        end = np.minimum(end, begin + STRETCH + sizes[item] + edits[item])
+        d, at = self._verify(x, item, begin, end)
+        good = np.flatnonzero(d <= edits[item])
+        best: dict[tuple[int, int], tuple[int, int]] = {}
+        for r, k, e, a in zip(doc[good].tolist(), item[good].tolist(), d[good].tolist(), at[good].tolist(), strict=True):
+            a = max(0, a - int(starts[r]) - int(sizes[k]))
+            if (r, k) not in best or (e, a) < best[r, k]:
+                best[r, k] = (e, a)
+        return [(rows[r], k, e, a) for (r, k), (e, a) in best.items()]
+
+
+def _each(n: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each row n times, with its number among them."""
+    return *(np.repeat(c, n) for c in columns), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
 def blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:

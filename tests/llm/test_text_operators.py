@@ -348,6 +348,41 @@ def test_edit_distance_and_recall():
     assert not block.match([random_text(600) for _ in range(100)] + [None, ""])
 
 
+def edited(item, edits, rng, kind):
+    """`item` with so many edits: substitutions evenly spread, or of all kinds at random places."""
+    s = list(item)
+    for k in range(edits):
+        if kind == "even":
+            s[(k * len(s) + len(s) // 2) // edits] = "#"
+        else:
+            at, how = rng.randrange(len(s)), rng.randrange(3)
+            s[at : at + (how != 1)] = [] if how == 2 else [rng.choice("abcdefghij ")]
+    return "".join(s)
+
+
+@pytest.mark.parametrize("kind", ["even", "any"])
+def test_decontamination_finds_every_item_within_its_edits(kind):
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    items = [(k, text(n)) for k, n in enumerate([3, 14, 15, 16, 19, 20, 25, 40, 64, 65, 81, 100, 128, 150, 226, 394])]
+    texts = [text(rng.randrange(60)) + edited(i, int(0.2 * len(i)) if len(i) >= 14 else 0, rng, kind) + text(rng.randrange(60)) for _, i in items for _ in range(10)]
+    want = {}
+    for r, t in enumerate(texts):
+        for k, i in items:
+            d, end = decontaminate.edit_distance(i, t)
+            if d <= (int(0.2 * len(i)) if len(i) >= 14 else 0):
+                want[r, k] = (d, max(0, end - len(i)))
+    assert all((r, r // 10) in want for r in range(len(texts)))
+    assert {(r, k): x for r, k, *x in map(tuple, decontaminate.Block(items).match(texts))} == {k: list(v) for k, v in want.items()}
+
+
+def test_decontamination_finds_items_with_doubled_spaces(spark):
+    items = [(i.item_id, i.text) for i in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    wide = [(k, t.replace(" ", "  ")) for k, t in items if t.count(" ") <= int(0.2 * len(t))]
+    found = {(r, k) for r, k, *_ in decontaminate.Block(items).match([t for _, t in wide])}
+    assert wide and {(r, next(x for x, i in enumerate(items) if i[0] == k)) for r, (k, _) in enumerate(wide)} <= found
+
+
 def test_decontamination_finds_all_exact_passages(spark):
     got = {(r.doc_id, r.item_id) for r in registry.op8_decontamination(spark, SF).collect()}
     docs, items = documents(spark).collect(), spark.read.parquet(f"{SF}/benchmark.parquet").collect()
