@@ -167,9 +167,15 @@ def infer_backbone(s: SparkSession, d: str) -> DataFrame:
 
 @query("lag0_families")
 def lag0_families(s: SparkSession, d: str) -> DataFrame:
-    """Graphs over the first four processes that explain their simultaneous independences, by G tests at 0.01 of counts of (symbols now, symbols before)."""
-    symbols = ev_symbols(s, d)
-    names = [r.process for r in symbols.select("process").distinct().orderBy("process").limit(4).collect()]  # the listing of graphs is for four nodes
+    """Graphs over all processes that explain their simultaneous independences, by G tests at 0.01 of counts of (symbols now, symbols before); the status 'too large' and no graphs beyond five processes."""
+    return explaining(ev_symbols(s, d))
+
+
+def explaining(symbols: DataFrame) -> DataFrame:
+    schema = "graphs long, arrows array<string>, links array<string>, possible array<string>, status string"
+    names = [r.process for r in symbols.select("process").distinct().orderBy("process").limit(families.MAX_NODES + 1).collect()]
+    if len(names) > families.MAX_NODES:  # graphs are not listed for so many nodes
+        return symbols.sparkSession.createDataFrame([(None, None, None, None, "too large")], schema)
     wide = symbols.where(F.col("process").isin(names)).groupBy("trial", "t").pivot("process", names).agg(F.first("code"))
     cells = wide.dropna().groupBy(*[F.col(f"`{n}`").alias(f"v{k}") for k, n in enumerate(names)]).agg(F.count(F.lit(1)).alias("n"))
 
@@ -177,6 +183,6 @@ def lag0_families(s: SparkSession, d: str) -> DataFrame:
         independent = {t for t in families.statements(len(names)) if families.g_independent(f, *t)}
         found = families.explanations(len(names), independent)
         show = lambda arcs, by: [f"{names[a]}{by}{names[b]}" for a, b in arcs]
-        return pd.DataFrame([{"graphs": len(found["graphs"]), "arrows": show(found["arrows"], ">"), "links": show(found["links"], "-"), "possible": show(found["possible"], "-")}])
+        return pd.DataFrame([{"graphs": len(found["graphs"]), "arrows": show(found["arrows"], ">"), "links": show(found["links"], "-"), "possible": show(found["possible"], "-"), "status": "complete"}])
 
-    return cells.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, "graphs long, arrows array<string>, links array<string>, possible array<string>")  # at most alphabet ** 4 rows
+    return cells.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, schema)  # at most alphabet ** 5 rows

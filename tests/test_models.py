@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 
 from lagweave.operators import adaptive, families, info, machine, pid, posterior, regimes, spectral
+from lagweave.plans import models
 
 
 def gate(f):
@@ -115,6 +116,19 @@ def test_families():
     assert collider["graphs"] == [[(0, 1), (2, 1)]] and collider["arrows"] == [(0, 1), (2, 1)]
 
 
+def test_families_of_five_processes(spark):
+    assert len(families.graphs(5)) == 29281
+    rng = np.random.default_rng(9)
+    a, b, d, e = rng.integers(0, 2, (4, 4000))
+    c = np.where(rng.random(4000) < 0.9, e, d)
+    rows = [(0, t, p, int(v)) for p, x in zip("abcde", (a, b, c, d, e), strict=True) for t, v in enumerate(x)]
+    symbols = spark.createDataFrame(rows, "trial long, t long, process string, code int")
+    r = models.explaining(symbols).first()
+    assert r.status == "complete" and "c-e" in r.links
+    more = symbols.union(symbols.where("process = 'a'").replace("a", "f", "process"))
+    assert [(r.status, r.graphs) for r in models.explaining(more).collect()] == [("too large", None)]
+
+
 def test_regimes_are_found(spark):
     rng, x = np.random.default_rng(4), [0]
     for t in range(1, 1200):
