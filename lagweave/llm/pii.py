@@ -55,7 +55,7 @@ PATTERNS = {
     "name": rf"(?<!\w)(?:(?:{_titles})\.? {_word}(?:[ -]{_word})*|{_word}(?: {_word}(?:-{_word})*)+)",
 }
 _find = re.compile("|".join(f"(?P<{k}>{v.replace(chr(92) + '1', '(?P=sep)').replace('([ -]?)', '(?P<sep>[ -]?)')})" for k, v in PATTERNS.items()))
-_hint = re.compile(rf"[@\d]|{_word} {_word}|(?<!\w)(?:{_titles})\.? [{_upper}]|(?i:password|pwd)")
+_hint = re.compile(rf"[@\d]|{_word} {_word}|(?<!\w)(?:{_titles})\.? [{_upper}]|(?i:password|passwd|pwd)|AKIA")
 _first = {name: k for k, names in FIRST.items() for name in names}
 _gender = {t: g for g, titles in TITLES.items() for t in titles}
 
