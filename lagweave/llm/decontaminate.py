@@ -18,7 +18,6 @@ items of one text are reported separately.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
