@@ -315,16 +315,15 @@ def dedup(docs: DataFrame) -> DataFrame:
     drop_cut(often)
     parts = max(shuffle_partitions(spark), -(-total // MERGED))
 
-    def settle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The digest of every text as it is; the text itself only where something may go."""
-        for f in frames:
-            raw = [t.encode("utf-8", "replace") for t in f["text"]]
-            f["n_bytes"] = [len(x) for x in raw]
-            f["sha"] = [hashlib.sha256(x).hexdigest() for x in raw]
-            f["text"] = [x if o is not None else None for x, o in zip(raw, f["os"], strict=True)]
-            yield f[["doc_id", "k", "n_bytes", "sha", "text", "os", "hot"]].astype({"doc_id": "Int64"})
+    @F.pandas_udf("n_bytes long, sha string, raw binary")
+    def settle(texts: pd.Series, wanted: pd.Series) -> pd.DataFrame:
+        """The digest of every text as it is; the text itself only where something may go. Ids stay outside the worker, where a null would turn them into floats."""
+        raw = [t.encode("utf-8", "replace") for t in texts]
+        return pd.DataFrame({"n_bytes": [len(x) for x in raw], "sha": [hashlib.sha256(x).hexdigest() for x in raw], "raw": [x if w else None for x, w in zip(raw, wanted, strict=True)]})
 
-    open_docs = cut(docs.join(asked, "k", "left").mapInPandas(settle, "doc_id long, k long, n_bytes long, sha string, text binary, os array<int>, hot array<int>"))
+    open_docs = docs.join(asked, "k", "left").select("doc_id", "k", "os", "hot", settle(F.col("text"), F.col("os").isNotNull()).alias("s"))
+    open_docs = cut(open_docs.select("doc_id", "k", "s.n_bytes", "s.sha", F.col("s.raw").alias("text"), "os", "hot"))
+    drop_cut(asked)
 
     def runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, dict] = {}
@@ -358,22 +357,22 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     sent = open_docs.where("os is not null").select("k", "text", "os", "hot").mapInPandas(runs, "part int, run binary")
     found = sent.groupBy("part").applyInPandas(lambda f: merged_repeats(f["run"].tolist()), "k long, first long, last long")
-    ranges = found.distinct().groupBy("k").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
-
-    def finish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for doc, n, sha, raw, at in zip(f["doc_id"], f["n_bytes"], f["sha"], f["text"], f["ranges"], strict=True):
-                spans = removed(raw, [(x["first"], x["last"]) for x in at]) if at is not None else []
-                if spans:
-                    kept, past = hashlib.sha256(), 0
-                    for a, b in spans:
-                        kept.update(raw[past:a])
-                        past = b
-                    kept.update(raw[past:])
-                    sha = kept.hexdigest()
-                out.append((doc, n, sum(b - a for a, b in spans), len(spans), sha, [{"start": a, "end": b} for a, b in spans]))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]).astype({"doc_id": "Int64"})
-
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
-    return open_docs.select("doc_id", "k", "n_bytes", "sha", "text").join(ranges, "k", "left").mapInPandas(finish, schema)
+    ranges = found.distinct().groupBy("k").agg(F.collect_list(F.struct("first", "last")).alias("r")).select("k", F.col("r.first").alias("firsts"), F.col("r.last").alias("lasts"))
+
+    @F.pandas_udf("n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
+    def finish(digests: pd.Series, raws: pd.Series, firsts: pd.Series, lasts: pd.Series) -> pd.DataFrame:
+        out = []
+        for sha, raw, a, b in zip(digests, raws, firsts, lasts, strict=True):
+            spans = removed(raw, list(zip(a.tolist(), b.tolist(), strict=True))) if a is not None else []
+            if spans:
+                kept, past = hashlib.sha256(), 0
+                for x, y in spans:
+                    kept.update(raw[past:x])
+                    past = y
+                kept.update(raw[past:])
+                sha = kept.hexdigest()
+            out.append((sum(y - x for x, y in spans), len(spans), sha, [{"start": x, "end": y} for x, y in spans]))
+        return pd.DataFrame(out, columns=["n_removed", "n_spans", "kept_sha256", "spans"])
+
+    done = open_docs.select("doc_id", "k", "n_bytes", "sha", "text").join(ranges, "k", "left").select("doc_id", "n_bytes", finish("sha", "text", "firsts", "lasts").alias("f"))
+    return done.select("doc_id", "n_bytes", "f.n_removed", "f.n_spans", "f.kept_sha256", "f.spans")
