@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lagweave.llm.common import cut
+from lagweave.llm.common import cut, drop_cut
 from lagweave.llm.wfst import META, costs
 
 #: Words with more than 1/HEAVY of all tokens are looked up in a broadcast table, which so has fewer than HEAVY rows whatever the corpus; all others are joined.
@@ -193,7 +193,7 @@ def score(docs: DataFrame, train: Column, pieces: list[tuple[str, float, str]])
     sums = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("N"), F.count_if(F.col("c") > 0).alias("V"), F.coalesce(F.sum("n"), F.lit(0)).alias("all")).first()
     heavy = F.col("n") > sums["all"] / HEAVY
     size = len(pieces) + 1
-    lattice, top = Lattice(pieces), [r.word for r in counted.where(heavy & (F.col("c") > 0)).select("word").orderBy("word").collect()]  # fewer than HEAVY rows
+    lattice, top = Lattice(pieces), [r.word for r in counted.where(F.col("c") > sums["N"] / HEAVY).select("word").orderBy("word").collect()]  # fewer than HEAVY rows, by training text alone
     for _ in range(ROUNDS):
         gathered = [0.0] * size
         for w in top:
@@ -216,20 +216,21 @@ def score(docs: DataFrame, train: Column, pieces: list[tuple[str, float, str]])
     def marginal(words: pd.Series) -> pd.Series:
         return words.map(model.value.log_prob).astype("float64") / math.log(10)
 
-    known = counted.select(F.xxhash64("word").alias("h"), "c", F.log10((F.col("c") + ADD) / (sums.N + ADD * (sums.V + 1))).alias("base"), marginal("word").alias("spelled"), "n")
+    known = counted.select("word", "c", F.log10((F.col("c") + ADD) / (sums.N + ADD * (sums.V + 1))).alias("base"), marginal("word").alias("spelled"), "n")
     known = cut(known)
+    drop_cut(counted)
     spelled = F.col("spelled")
     theta = _theta(known, sums.N, sums.V)
     whole = F.log10("c") + F.log1p(theta / F.col("c") * F.pow(F.lit(10.0), spelled)) / math.log(10)
-    known = known.select("h", (F.col("c") > 0).alias("known"), "base", "n", (F.when(F.col("c") > 0, whole).otherwise(math.log10(theta) + spelled) - math.log10(sums.N + theta)).alias("lattice"))
-    often = F.broadcast(known.where(heavy).select("h", "known", "base", "lattice"))
-    seldom = known.where(~heavy).select(F.col("h").alias("rh"), F.col("known").alias("rk"), F.col("base").alias("rb"), F.col("lattice").alias("rl")).hint("shuffle_hash")
+    known = known.select("word", (F.col("c") > 0).alias("known"), "base", "n", (F.when(F.col("c") > 0, whole).otherwise(math.log10(theta) + spelled) - math.log10(sums.N + theta)).alias("lattice"))
+    often = F.broadcast(known.where(heavy).select("word", "known", "base", "lattice"))
+    seldom = known.where(~heavy).select(F.col("word").alias("rw"), F.col("known").alias("rk"), F.col("base").alias("rb"), F.col("lattice").alias("rl")).hint("shuffle_hash")
     # rows are told apart by an internal number; a word looked up in the broadcast table goes to a partition by row, not by word
-    terms = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.transform(tokens(F.col("text")), lambda w: F.xxhash64(w)).alias("hs")).select("doc_id", "row", F.explode("hs").alias("h"))
-    here = terms.join(often, "h", "left").groupBy("doc_id", "row")
+    terms = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), tokens(F.col("text")).alias("words")).select("doc_id", "row", F.explode("words").alias("word"))
+    here = terms.join(often, "word", "left").groupBy("doc_id", "row")
     frequent = F.col("lattice").isNotNull()
-    looked = terms.join(often, "h", "left").where(~frequent).select("doc_id", "row", "h")
-    rare = looked.join(seldom, F.col("h") == F.col("rh")).groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("n_tokens"), F.count_if("rk").alias("n_known"), F.sum("rb").alias("base_score"), F.sum("rl").alias("score"))
+    looked = terms.join(often, "word", "left").where(~frequent).select("doc_id", "row", "word")
+    rare = looked.join(seldom, F.col("word") == F.col("rw")).groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("n_tokens"), F.count_if("rk").alias("n_known"), F.sum("rb").alias("base_score"), F.sum("rl").alias("score"))
     total = here.agg(F.count_if(frequent).alias("n_tokens"), F.count_if(frequent & F.col("known")).alias("n_known"), F.coalesce(F.sum("base"), F.lit(0.0)).alias("base_score"), F.coalesce(F.sum("lattice"), F.lit(0.0)).alias("score"))
     total = total.unionByName(rare).groupBy("doc_id", "row").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
     return total.select("doc_id", "n_tokens", F.col("n_known").cast("long").alias("n_known"), F.lit(int(sums.N)).cast("long").alias("train_tokens"), "base_score", "score")
