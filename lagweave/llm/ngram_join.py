@@ -15,8 +15,10 @@ class beyond BLOCK members is dealt out as pairs of blocks.
 Shingles are SIZE consecutive words, of shorter texts all words. Null texts and
 texts without a word have no shingle, no link, and are classes of their own, as
 are rows without an id (class null). Repeated rows count as copies of each
-other. The least doc_id of a class is its id. At the threshold a pair shares no
-band with probability (1 - 0.8^6)^54, less than 1e-7.
+other; rows of one id with different texts are told apart by a hash of the text.
+The least doc_id of a class is its id, so such rows may give two classes one id.
+At the threshold a pair shares no band with probability (1 - 0.8^6)^54, less
+than 1e-7.
 """
 
 from __future__ import annotations
@@ -28,10 +30,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagweave.llm.common import WORD, cut, drop_cut, shuffle_partitions
+from lagweave.llm.common import WORD, cut, drop_cut, free_name, shuffle_partitions
 from lagweave.llm.graph import components
 
 SIZE, NUMERATOR, DENOMINATOR = 5, 4, 5
@@ -218,53 +220,70 @@ def _dealt(members: DataFrame, group: str, size: str, rows: int) -> tuple[DataFr
     return dealt.withColumn("task", F.pmod(F.xxhash64(group, "i", "j"), F.lit(tasks))), tasks
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, n_shingles and n_links (other documents whose similarity reaches the threshold) of every row of `docs`."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _text_hash(docs: DataFrame):
+    return F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+
 
-    def sketch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            sets = [shingles(t if isinstance(t, str) else None) for t in f["text"]]
-            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "fp": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "bands": [minhash_bands(s) if len(s) else None for s in sets]})
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, th, n) without a class, and (doc_id, th, n, first, n_links) of the others; first is the (doc_id, th) that stands for the class, th the hash of the text."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash(docs).alias("th"), "text")
 
-    every = cut(docs.mapInPandas(sketch, "doc_id long, n int, fp binary, bands array<long>"))
-    counted = every.where("doc_id is not null and n > 0").select("fp", "doc_id").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    counted = cut(counted)
-    reps = every.where("n > 0").select(F.col("doc_id").alias("rep"), "bands").join(counted.select("rep"), "rep").dropDuplicates(["rep"])
+    @F.pandas_udf("n int, fp binary, bands array<long>")
+    def sketch(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingles(t if isinstance(t, str) else None) for t in texts]
+        return pd.DataFrame({"n": [len(s) for s in sets], "fp": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "bands": [minhash_bands(s) if len(s) else None for s in sets]})
+
+    every = cut(docs.select("doc_id", "th", sketch("text").alias("s")).select("doc_id", "th", "s.n", "s.fp", "s.bands"))
+    alone = F.col("doc_id").isNull() | (F.col("n") == 0)
+    # nodes are numbered in the written table: the numbers are those that its readers see, whatever is computed again
+    counted = every.where(~alone).groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.count(F.lit(1)).alias("copies"))
+    counted = cut(counted.withColumn("rep", F.monotonically_increasing_id()))
+    firsts = counted.select("fp", F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th"), "rep")
+    reps = every.where(~alone).select("fp", "doc_id", "th", "bands").join(firsts, ["fp", "doc_id", "th"]).select("rep", "bands").dropDuplicates(["rep"])
     reps = cut(reps)
-    whole = Window.partitionBy("key")
-    met = reps.select("rep", F.explode("bands").alias("key")).withColumn("n", F.count(F.lit(1)).over(whole)).where("n > 1")
-    met = met.withColumn("x", F.bit_xor(F.xxhash64("rep")).over(whole)).withColumn("s", F.sum(F.xxhash64("rep", F.lit(1)).bitwiseAND(0xFFFFFFFF)).over(whole))
-    met = cut(met)
-    # buckets with the same members are compared once, in the first band
-    kept = met.groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key")
-    buckets = met.join(kept, "key").select("key", "rep", "n").join(reps, "rep")
-    dealt, _ = _dealt(buckets, "key", "n", met.count() // 10_000)
+    in_band = reps.select("rep", F.explode("bands").alias("key"))
+    # a bucket's members are summed up before they are shuffled; buckets with the same members are compared once, in the first band
+    sums = in_band.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.sum(F.xxhash64("rep", F.lit(1)).bitwiseAND(0xFFFFFFFF)).alias("s")).where("n > 1")
+    kept = cut(sums.groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key", "n"))
+    buckets = in_band.join(kept, "key").select("key", "rep", "n").join(reps, "rep")
+    total = kept.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    dealt, _ = _dealt(buckets, "key", "n", total // 10_000)
     edges = dealt.groupBy("task").applyInPandas(_bucket, "u long, v long")
     near = cut(components(edges))
-    drop_cut(met)
+    drop_cut(reps, kept)
     sizes = near.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    members = near.join(sizes, "root").select(F.col("node").alias("rep"), F.col("root").alias("comp"), "size").join(counted.select("rep", "copies"), "rep")
+    members = near.join(sizes, "root").select(F.col("node").alias("rep"), F.col("root").alias("comp"), "size").join(counted.select("rep", "copies", "first"), "rep")
+    members = members.select("rep", "comp", "size", "copies", F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th"))
 
-    def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            f["set"] = [shingles(t).tobytes() for t in f.pop("text")]
-            yield f
+    @F.pandas_udf("binary")
+    def sets(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingles(t).tobytes() for t in texts], dtype=object)
 
-    texts = docs.withColumnRenamed("doc_id", "rep").join(members, "rep")
-    held = texts.select("rep", "comp", "size", "copies", "text").mapInPandas(sets, "rep long, comp long, size long, copies long, set binary").dropDuplicates(["rep"])
+    held = docs.join(members, ["doc_id", "th"]).select("rep", "comp", "size", "copies", sets("text").alias("set")).dropDuplicates(["rep"])
     dealt, _ = _dealt(held, "comp", "size", near.count() // 1000)
     verified = cut(dealt.groupBy("task").applyInPandas(_verify, "rep long, links long, v long"))
-    classes = components(verified.select(F.col("rep").alias("u"), "v"))
+    drop_cut(near)
+    classes = cut(components(verified.select(F.col("rep").alias("u"), "v")).select(F.col("node").alias("rep"), "root"))
+    least = cut(classes.join(counted.select("rep", "first"), "rep").groupBy("root").agg(F.min("first").alias("least")))
     links = verified.groupBy("rep").agg(F.sum("links").alias("links"))
-    named = counted.join(links, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    alone = F.col("doc_id").isNull() | (F.col("n") == 0)
-    linked = every.where(~alone).join(named, "fp").select("doc_id", "class_id", F.col("n").cast("long").alias("n_shingles"), "n_links")
-    return linked.unionByName(every.where(alone).select("doc_id", F.col("doc_id").alias("class_id"), F.col("n").cast("long").alias("n_shingles"), F.lit(0).cast("long").alias("n_links")))
+    named = counted.join(links, "rep", "left").join(classes, "rep", "left").join(least, "root", "left")
+    named = named.select("fp", F.coalesce("least", "first").alias("first"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return every.where(alone).select("doc_id", "th", "n"), every.where(~alone).select("doc_id", "th", "n", "fp").join(named, "fp").select("doc_id", "th", "n", "first", "n_links")
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id, n_shingles and n_links (other documents whose similarity reaches the threshold) of every row of `docs`."""
+    alone, linked = _classes(docs)
+    n = F.col("n").cast("long").alias("n_shingles")
+    linked = linked.select("doc_id", F.col("first.doc_id").alias("class_id"), n, "n_links")
+    return linked.unionByName(alone.select("doc_id", F.col("doc_id").alias("class_id"), n, F.lit(0).cast("long").alias("n_links")))
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """One row of each class, that of the least doc_id, all columns as they are; rows without an id stay."""
-    lost = join(docs).where("doc_id != class_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(lost, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    """One row of each class, of its least doc_id, all columns as they are; rows without an id or without a word stay. Of rows that agree in id and text one stays; rows of one id whose texts are no near copies all do."""
+    _, linked = _classes(docs)
+    doc_id, th = free_name(docs, "doc_id_"), free_name(docs, "text_hash_")
+    lost = linked.where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("th") != F.col("first.th"))).select(F.col("doc_id").alias(doc_id), F.col("th").alias(th)).distinct()
+    marked = docs.where("doc_id is not null").withColumn(doc_id, F.col("doc_id").cast("long")).withColumn(th, _text_hash(docs))
+    named = marked.join(lost, [doc_id, th], "left_anti").dropDuplicates([doc_id, th])
     return named.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where("doc_id is null"))
