@@ -11,15 +11,14 @@ to the language first in order. Repeated rows are predicted each for itself.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows at most that the network is fitted on, and code points taken of each.
-SAMPLE_ROWS, SAMPLE_CHARS = 6000, 600
+#: Labelled rows that the network is fitted on, in expectation, and the share of them that any language has at least.
+SAMPLE_ROWS, LEAST_ROWS = 6000, 20
 WINDOW, EMBED, WIDTHS, FILTERS, BATCH = 256, 8, (2, 3, 4, 5), 8, 256
 UNKNOWN = "und"
 _letter = re.compile(r"[^\W\d_]")
@@ -66,33 +65,40 @@ class Network:
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
-    def fit(self, windows: np.ndarray, labels: np.ndarray, steps: int = 700, batch: int = 64, rate: float = 4e-3, seed: int = 11) -> None:
-        """Adam on cross entropy; the maximum lets a gradient through at one place of each filter."""
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean cross entropy of windows x with labels y; the maximum lets a gradient through at one place of each filter."""
+        row = np.arange(len(x))
+        top, at, cols = self.pooled(x, where=True)
+        z = top @ self.dense + self.shift
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        p[row, y] -= 1
+        p /= len(x)
+        g = {"dense": top.T @ p, "shift": p.sum(0)}
+        back = (p @ self.dense.T) * (top > 0)
+        g["bias"] = back.sum(0)
+        chosen = cols[row[:, None], at]
+        g["filters"] = np.einsum("bn,bnd->dn", back, chosen) * self.mask
+        into = back[:, :, None] * self.filters.T[None]
+        g["embed"] = np.zeros_like(self.embed)
+        for w in range(max(WIDTHS)):
+            np.add.at(g["embed"], x[row[:, None], at + w], into[:, :, w * EMBED : (w + 1) * EMBED])
+        g["embed"][0] = 0
+        return g
+
+    def fit(self, windows: np.ndarray, labels: np.ndarray, texts: np.ndarray, steps: int = 700, batch: int = 64, rate: float = 4e-3, seed: int = 11) -> None:
+        """Adam on cross entropy. A step draws languages, then texts of each, then windows of these, so that neither frequent languages nor long texts weigh more."""
         rng = np.random.default_rng(seed)
         names = ("embed", "filters", "bias", "dense", "shift")
         m = {k: np.zeros_like(getattr(self, k)) for k in names}
         v = {k: np.zeros_like(getattr(self, k)) for k in names}
-        by_class = [np.flatnonzero(labels == k) for k in range(len(self.classes))]
-        wide = max(WIDTHS)
+        first = np.flatnonzero(np.r_[True, texts[1:] != texts[:-1]])
+        count = np.diff(np.r_[first, len(texts)])
+        by_class = [np.flatnonzero(labels[first] == k) for k in range(len(self.classes))]
         for step in range(1, steps + 1):
-            pick = np.array([rng.choice(by_class[k]) for k in rng.integers(0, len(self.classes), batch)])
-            x, y = windows[pick], labels[pick]
-            top, at, cols = self.pooled(x, where=True)
-            z = top @ self.dense + self.shift
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(batch), y] -= 1
-            p /= batch
-            g = {"dense": top.T @ p, "shift": p.sum(0)}
-            back = (p @ self.dense.T) * (top > 0)
-            g["bias"] = back.sum(0)
-            chosen = cols[np.arange(batch)[:, None], at]
-            g["filters"] = np.einsum("bn,bnd->dn", back, chosen) * self.mask
-            into = back[:, :, None] * self.filters.T[None]
-            g["embed"] = np.zeros_like(self.embed)
-            for w in range(wide):
-                np.add.at(g["embed"], x[np.arange(batch)[:, None], at + w], into[:, :, w * EMBED : (w + 1) * EMBED])
-            g["embed"][0] = 0
+            drawn = np.array([rng.choice(by_class[k]) for k in rng.integers(0, len(self.classes), batch)])
+            pick = first[drawn] + (rng.random(batch) * count[drawn]).astype(int)
+            g = self.gradients(windows[pick], labels[pick])
             for k in names:
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
                 v[k] = 0.999 * v[k] + 0.001 * g[k] ** 2
@@ -113,30 +119,30 @@ def train(texts: list[str], langs: list[str]) -> Network | None:
     if not classes:
         return None
     net = Network(classes)
-    parts = [cut_windows(t)[:2] for t in texts]
-    labels = np.repeat([classes.index(x) for x in langs], [len(p) for p in parts])
-    windows = np.concatenate(parts)
+    parts = [cut_windows(t) for t in texts]
+    number = {x: k for k, x in enumerate(classes)}
+    sizes = [len(p) for p in parts]
+    labels, owner, windows = np.repeat([number[x] for x in langs], sizes), np.repeat(np.arange(len(parts)), sizes), np.concatenate(parts)
     useful = _letters[windows].sum(axis=1) > 20
     if useful.any() and set(labels[useful]) == set(labels):
-        windows, labels = windows[useful], labels[useful]
+        windows, labels, owner = windows[useful], labels[useful], owner[useful]
     if len(classes) > 1:
-        net.fit(windows, labels)
+        net.fit(windows, labels, owner)
     return net
 
 
 def learn(labelled: DataFrame) -> Network | None:
-    """Fit on a bounded sample of rows (doc_id, text, lang): about an equal share of each language, by a hash of the id, a piece from the middle of each."""
+    """Fit on whole texts of a bounded sample of rows (doc_id, text, lang): about an equal share of each language, by a hash of id and text; rows alike count once. Every language is an output of the network, so their list must fit on the driver."""
     rows = labelled.where("text is not null and lang is not null").where(F.col("text").rlike(r"\p{L}"))
-    at = F.greatest(F.lit(1), (F.length("text") / 2 - SAMPLE_CHARS / 2).cast("int"))
-    rows = rows.select("lang", F.substring("text", at, F.lit(SAMPLE_CHARS)).alias("text"), F.xxhash64("doc_id").alias("_h"))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE_ROWS // 10).collect()}
-    share = SAMPLE_ROWS / max(1, len(counts))
+    rows = rows.select("lang", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)).alias("_h"))
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = max(LEAST_ROWS, SAMPLE_ROWS / max(1, len(counts)))
     # a row is taken if its hash lies below its language's share: about SAMPLE_ROWS rows of whatever table
     chosen = rows.where("false")
     if counts:
         below = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, share / n)))])
-        chosen = rows.where(F.pmod("_h", F.lit(1 << 30)) < F.try_element_at(below, F.col("lang")) * (1 << 30))
-    found = sorted((r.lang, r.text) for r in chosen.select("lang", "text").limit(2 * SAMPLE_ROWS).collect())
+        chosen = rows.where(F.col("_h") < F.try_element_at(below, F.col("lang")) * (1 << 30))
+    found = sorted((r.lang, r.text) for r in chosen.select("lang", "text").distinct().collect())
     return train([t for _, t in found], [k for k, _ in found])
 
 
@@ -177,11 +183,9 @@ def predict_texts(net: Network | None, texts: list[str | None]) -> list[tuple[st
 def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     """doc_id, lang_pred and score of every row; a narrow pass over whole texts."""
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for i in range(0, len(f), 256):
-                part = f.iloc[i : i + 256]
-                found = predict_texts(net, [t if isinstance(t, str) else None for t in part["text"]])
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "lang_pred": [a for a, _ in found], "score": [b for _, b in found]})
+    @F.pandas_udf("lang_pred string, score double")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        found = [x for i in range(0, len(texts), 256) for x in predict_texts(net, [t if isinstance(t, str) else None for t in texts.iloc[i : i + 256]])]
+        return pd.DataFrame(found, columns=["lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInPandas(batches, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", run(F.col("text")).alias("r")).select("doc_id", "r.lang_pred", "r.score")
