@@ -44,7 +44,9 @@ PII_KEY = b"lagweave surrogate key"
 
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.replace(docs, PII_KEY).select("doc_id", F.size("entities").alias("n_entities"), "text", "entities")
+    replaced = pii.replace(docs, PII_KEY)
+    pii.check(replaced)
+    return replaced.select("doc_id", F.size("entities").alias("n_entities"), "text", "entities")
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Model:
