@@ -10,10 +10,12 @@ bit-parallel edit distance between the item and any part of it (in Hyyro's
 blocks of 64 bits). No item within the edits is missed: neither step samples.
 
 Letters are compared in lower case, white space as spaces. A document is
-reported once for each item with the least distance and, of those, the first
-place. Null and empty texts match nothing; nor do empty items; items shorter
-than SHORT must occur as they are. Repeated rows are reported once for each;
-items of one text are reported separately.
+reported once for each item with the least distance and, of those, the part
+that ends first. Null and empty texts match nothing; nor do null and empty
+items. The edits allowed are the same share of an item's length whatever that
+is: items of under five letters must occur as they are. Repeated rows are
+reported once for each; items of one text are reported separately; an item
+without an id is an item, reported with a null id.
 """
 
 from __future__ import annotations
@@ -27,7 +29,6 @@ from pyspark.sql import functions as F
 
 #: Edits allowed, as a share of an item's length.
 RATE = 0.2
-SHORT = 14
 #: Longest q-gram, and diagonals of a bin as a power of two. Buckets of q-grams, as a power of two: one that several share only adds to counts.
 GRAM, BIN, BUCKETS = 4, 3, 20
 #: Code points of the items of one block at most: what an executor holds of the query set.
@@ -44,8 +45,8 @@ def plain(text: str) -> str:
     return text
 
 
-def edit_distance(item: str, region: str) -> tuple[int, int]:
-    """The least edit distance between `item` and any part of `region`, and where such a part ends (Myers 1999)."""
+def edit_distance(item: str, region: str, anchored: bool = False) -> tuple[int, int]:
+    """The least edit distance between `item` and any part of `region` (`anchored`: that begins where it does), and where the first such part ends (Myers 1999)."""
     n = len(item)
     masks: dict[str, int] = {}
     for i, ch in enumerate(item):
@@ -60,7 +61,7 @@ def edit_distance(item: str, region: str) -> tuple[int, int]:
         score += bool(grow & top) - bool(shrink & top)
         if score < best:
             best, end = score, j
-        grow, shrink = (grow << 1) & full, (shrink << 1) & full
+        grow, shrink = (grow << 1 | anchored) & full, (shrink << 1) & full
         up, down = shrink | (full & ~(zero | grow)), grow & zero
     return best, end
 
@@ -188,7 +189,7 @@ class Block:
             letters[seen] = np.arange(1, len(seen) + 1)
             codes = [letters[points(t)] for _, t in self.items]
             sizes = np.array([len(c) for c in codes])
-            edits = np.where(sizes >= SHORT, (self.rate * sizes).astype(int), 0)
+            edits = (self.rate * sizes).astype(int)
             q = np.zeros(len(sizes), int)
             for k in range(1, GRAM + 1):
                 q[sizes - k + 1 - k * edits > 0] = k
@@ -258,10 +259,15 @@ class Block:
         good = np.flatnonzero(d <= edits[item])
         best: dict[tuple[int, int], tuple[int, int]] = {}
         for r, k, e, a in zip(doc[good].tolist(), item[good].tolist(), d[good].tolist(), at[good].tolist(), strict=True):
-            a = max(0, a - int(starts[r]) - int(sizes[k]))
+            a -= int(starts[r])
             if (r, k) not in best or (e, a) < best[r, k]:
                 best[r, k] = (e, a)
-        return [(rows[r], k, e, a) for (r, k), (e, a) in best.items()]
+        out = []
+        for (r, k), (e, a) in best.items():  # the part is as long as the item, read backwards, is from its end
+            text = self.items[k][1]
+            _, back = edit_distance(text[::-1], texts[r][max(0, a - len(text) - e) : a][::-1], anchored=True)
+            out.append((rows[r], k, e, a - back))
+        return out
 
 
 def _each(n: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -272,7 +278,7 @@ def _each(n: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
 def blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of bounded size, streamed through the driver one partition at a time."""
     held, size = [], 0
-    for r in items.where("item_id is not null and length(text) > 0").select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
+    for r in items.where("length(text) > 0").select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
         if held and size + len(r.text) > BLOCK_CHARS:
             yield held
             held, size = [], 0
@@ -284,24 +290,22 @@ def blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 def contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
     """doc_id, item_id, distance, item_chars and start of every document and item of it; a narrow pass for each block of items."""
-    schema = "doc_id long, item_id long, distance int, item_chars int, start long"
-    found = docs.sparkSession.createDataFrame([], schema)
+    found = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, distance int, item_chars int, start long")
 
     def searcher(block):
-        def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                for i in range(0, len(f), 5000):
-                    g = f.iloc[i : i + 5000]
-                    ids = g["doc_id"].to_numpy()
-                    rows = block.value.match([t if isinstance(t, str) else None for t in g["text"]])
-                    items = block.value.items
-                    yield pd.DataFrame([(ids[r], items[k][0], d, len(items[k][1]), at) for r, k, d, at in rows], columns=["doc_id", "item_id", "distance", "item_chars", "start"])
+        def search(texts: pd.Series) -> pd.Series:
+            out: list[list] = [[] for _ in range(len(texts))]
+            held = block.value.items
+            for r, k, d, at in block.value.match([t if isinstance(t, str) else None for t in texts]):
+                out[r].append({"item_id": held[k][0], "distance": d, "item_chars": len(held[k][1]), "start": at})
+            return pd.Series(out)
 
-        return batches
+        return F.pandas_udf(search, "array<struct<item_id:long,distance:int,item_chars:int,start:long>>")
 
     for held in blocks(items):
         block = docs.sparkSession.sparkContext.broadcast(Block(held, rate))  # at most BLOCK_CHARS of items
-        found = found.unionByName(docs.select("doc_id", "text").where(F.length("text") > 0).mapInPandas(searcher(block), schema))
+        some = docs.where(F.length("text") > 0).select(F.col("doc_id").cast("long").alias("doc_id"), searcher(block)(F.col("text")).alias("f")).where(F.size("f") > 0)
+        found = found.unionByName(some.select("doc_id", F.explode("f").alias("f")).select("doc_id", "f.*"))
     return found
 
 
