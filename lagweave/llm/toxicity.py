@@ -8,8 +8,9 @@ logistic function of its hits' number, gain and best share saved, and its length
 on a held-back part of the sample.
 
 Null and empty texts have no window and get the score of a document without
-hits. Repeated rows are scored alike, each for itself. With no labelled row of
-either class every score is 0.
+hits. Repeated rows are scored alike, each for itself. An id labelled both ways
+is no example of either class; of rows that share a labelled id, every distinct
+text is one. With fewer than six examples of either class every score is 0.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -30,8 +31,6 @@ from lagweave.llm.common import WORD
 
 #: Documents of each class at most from which the dictionaries and thresholds are learnt.
 SAMPLE_TOXIC, SAMPLE_ORDINARY = 2000, 5000
-#: Code points of a sampled text at most: a piece from a place that depends on its id (of the sample alone, never of a scored text).
-SAMPLE_CHARS = 12_000
 GRAM, DICT_BYTES, LEVEL, CACHE = 5, (16_384, 65_536), 6, 200_000
 #: Stands after each window and at the end of both dictionaries: zstandard looks for no match in the last bytes of a block and stores short blocks as they are, so a bare word would never be compressed.
 FRAME = bytes(range(1, 33)) + b"\n"
@@ -58,13 +57,14 @@ def contrastive(toxic: list[list[bytes]], ordinary: list[list[bytes]], least: fl
 
 
 def distinct_texts(texts: list[str], size: int = 8, shared: int = 4) -> list[str]:
-    """Texts without those that share at least `shared` of their `size` least word hashes with texts before them: copies would lend their words false weight."""
-    seen, out = set(), []
+    """Texts without those that share at least `shared` of their `size` least word hashes with any one text kept before them: copies would lend their words false weight."""
+    holders, out = defaultdict(list), []
     for text in texts:
         sketch = sorted({zlib.crc32(w) for w in set(windows(text)) if len(w) > 5})[:size]
-        if len(seen.intersection(sketch)) < shared:
+        if max(Counter(k for h in sketch for k in holders[h]).values(), default=0) < shared:
+            for h in sketch:
+                holders[h].append(len(out))
             out.append(text)
-        seen.update(sketch)
     return out
 
 
@@ -139,10 +139,10 @@ def train(toxic: list[str], ordinary: list[str]) -> Model:
     fit_t, fit_o = [x for k, x in enumerate(t) if k % 3], [x for k, x in enumerate(o) if k % 3]
     marks = contrastive(fit_t, fit_o)
     odd = [w for x in fit_t for w in x if len(w) >= GRAM and not marks.isdisjoint(_grams([w]))]
-    plain = [w for x in fit_o for w in x][: 2_000_000]
+    plain = [w for x in fit_o for w in x]
     if not odd:
         return Model(b"\0" * 8, b"\0" * 8)
-    sentences = [b"".join(plain[i : i + 12]) for i in range(0, len(plain), 12)][:60_000]
+    sentences = [b"".join(plain[i : i + 12]) for i in range(0, len(plain), 12)]
     packs = [b"".join(odd[i : i + 6]) for i in range(0, len(odd), 6)]
     model = Model(_dictionary(packs * max(1, 300 // len(packs)), DICT_BYTES[0]).as_bytes(), _dictionary(sentences, DICT_BYTES[1]).as_bytes())
     held = [(x, 1) for x in toxic[::3]] + [(x, 0) for x in ordinary[::3]]
@@ -160,32 +160,29 @@ def train(toxic: list[str], ordinary: list[str]) -> Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    """Train on a bounded sample: of each class the first labels in the order of a hash of the id, then the texts of these at most SAMPLE_TOXIC + SAMPLE_ORDINARY ids, which are broadcast; no text is shuffled."""
-    labels = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", "toxic")
-    picked = [r for k, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_ORDINARY)) for r in labels.where(F.col("toxic") == k).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
+    """Train on a bounded sample: of each class the first labels in the order of a hash of the id, then the whole texts of these at most SAMPLE_TOXIC + SAMPLE_ORDINARY ids, which are broadcast; only sampled texts are shuffled."""
+    labels = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most")
+    picked = [r for k, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_ORDINARY)) for r in labels.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
     ids = F.broadcast(docs.sparkSession.createDataFrame([(int(r.doc_id), int(r.toxic)) for r in picked], "doc_id long, toxic int"))
-    place = F.greatest(F.lit(1), F.pmod(F.xxhash64("doc_id", F.lit(7)), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1))) + 1).cast("int")
-    found = docs.select("doc_id", "text").where("text is not null").join(ids, "doc_id").select("doc_id", "toxic", F.substring("text", place, F.lit(SAMPLE_CHARS)).alias("text")).limit(2 * (SAMPLE_TOXIC + SAMPLE_ORDINARY)).collect()
+    found = docs.select("doc_id", "text").where("text is not null").join(ids, "doc_id").distinct().collect()
     found.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.text))
     return train([r.text for r in found if r.toxic == 1], [r.text for r in found if r.toxic == 0])
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """doc_id, score and predicted of every row of `docs`; a narrow pass over whole texts."""
+    found = docs.select("doc_id", _scored(model)(F.col("text")).alias("score"))
+    return found.select("doc_id", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            s = [model.score(x) for x in f["text"]]
-            yield pd.DataFrame({"doc_id": f["doc_id"], "score": s, "predicted": [int(x >= threshold) for x in s]})
-
-    return docs.select("doc_id", "text").mapInPandas(batches, "doc_id long, score double, predicted int")
-
-
-def keep(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """Rows of `docs` that are not predicted toxic, all columns as they are; a narrow filter."""
 
+def _scored(model: Model):
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
         return pd.Series([model.score(t) for t in texts], dtype="float64")
 
-    return docs.where(scored(F.col("text")) < threshold)
+    return scored
+
+
+def keep(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """Rows of `docs` that are not predicted toxic, all columns as they are; a narrow filter."""
+    return docs.where(_scored(model)(F.col("text")) < threshold)
