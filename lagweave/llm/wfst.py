@@ -2,8 +2,11 @@
 
 The machine is compiled once on the driver from the pieces of a public model:
 
-* normaliser: a dummy space in front, every space becomes the meta symbol;
-  a meta symbol of the text itself goes to its bytes, so decoding is exact;
+* normaliser: the model's own character map, as a trie whose longest match is
+  replaced, its rule for runs of spaces and its dummy space in front; then every
+  space becomes the meta symbol. A meta symbol of the text itself goes to its
+  bytes, so decoding gives the normalised text exactly: with the identity map,
+  as in the 32k model, the text itself;
 * pieces: a trie whose accepting states emit an id at the piece's cost;
 * byte fallback: a code point without a piece of its own emits its UTF-8 bytes
   at a cost above any piece.
@@ -16,6 +19,7 @@ their paths are kept in a bounded memory.
 
 Costs: scores of a unigram model are negated. The scores of a BPE model are
 ranks, not log-probabilities, so they are read as a Zipf law, log(rank + 2).
+Which of the two a model is, its file says.
 
 Null texts have null ids; an empty text has none. Texts of any length take
 linear time; lone surrogates can't occur in Spark strings. Repeated rows are
@@ -26,11 +30,13 @@ from __future__ import annotations
 
 import math
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 META = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -39,21 +45,88 @@ CACHE, CACHED_CHARS = 300_000, 48
 _part = re.compile(rf"{META}*[^{META}]+|{META}+")
 
 
-def read_pieces(path: str = MODEL) -> list[tuple[str, float, str]]:
-    """(piece, score, kind) by id; kind is normal, byte, unused or control."""
-    from sentencepiece import SentencePieceProcessor
-
-    p = SentencePieceProcessor(model_file=path)
-    kind = lambda i: "control" if p.is_control(i) or p.is_unknown(i) else "byte" if p.is_byte(i) else "unused" if p.is_unused(i) else "normal"
-    return [(p.id_to_piece(i), p.get_score(i), kind(i)) for i in range(p.get_piece_size())]
+class Vocabulary(list):
+    """(piece, score, kind) by id, with what else the model file says: whether scores are ranks, the character map, whether a space is put in front and runs of spaces shrink."""
+
+    def __init__(self, pieces=(), ranks: bool = False, charmap: dict[str, str] | None = None, dummy: bool = True, squeeze: bool = False):
+        super().__init__(pieces)
+        self.ranks, self.charmap, self.dummy, self.squeeze = ranks, charmap or {}, dummy, squeeze
+
+    def __reduce__(self):
+        return Vocabulary, (list(self), self.ranks, self.charmap, self.dummy, self.squeeze)
+
+
+def _message(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protocol buffer message."""
+
+    def number(i: int) -> tuple[int, int]:
+        value = shift = 0
+        while True:
+            value |= (raw[i] & 127) << shift
+            shift, i = shift + 7, i + 1
+            if raw[i - 1] < 128:
+                return value, i
+
+    i = 0
+    while i < len(raw):
+        key, i = number(i)
+        if key & 7 == 0:
+            value, i = number(i)
+        else:
+            size, i = number(i) if key & 7 == 2 else (4 if key & 7 == 5 else 8, i)
+            value, i = raw[i : i + size], i + size
+        yield key >> 3, value
+
+
+def _charmap(blob: bytes) -> dict[str, str]:
+    """The character map of a normaliser: a double-array trie over bytes, whose leaves point at zero-ended strings."""
+    if len(blob) < 4:
+        return {}
+    size = int.from_bytes(blob[:4], "little")
+    units, strings = np.frombuffer(blob[4 : 4 + size], "<u4").tolist(), blob[4 + size :]
+    step = lambda u: (u >> 10) << ((u & 512) >> 6)
+    out, todo = {}, [(step(units[0]), b"")]
+    while todo:
+        at, key = todo.pop()
+        for c in range(1, 256):
+            child = at ^ c
+            if child < len(units) and units[child] & 0x800000FF == c:
+                if units[child] >> 8 & 1:
+                    value = units[child ^ step(units[child])] & 0x7FFFFFFF
+                    out[(key + bytes([c])).decode("utf-8", "replace")] = strings[value : strings.index(b"\0", value)].decode()
+                todo.append((child ^ step(units[child]), key + bytes([c])))
+    return out
+
+
+def read_pieces(path: str = MODEL) -> Vocabulary:
+    """The vocabulary of a model file; kinds are normal, byte, unused or control."""
+    from pathlib import Path
+
+    return parse_model(Path(path).read_bytes())
+
+
+def parse_model(raw: bytes) -> Vocabulary:
+    # Fixed values of the file format: kinds of pieces and of models by number.
+    kinds = {1: "normal", 2: "control", 3: "control", 4: "normal", 5: "unused", 6: "byte"}
+    bpe = 2
+    out = Vocabulary()
+    for field, value in _message(raw):
+        if field == 1:
+            piece = dict(_message(value))
+            out.append((piece.get(1, b"").decode(), struct.unpack("<f", piece[2])[0] if 2 in piece else 0.0, kinds[piece.get(3, 1)]))
+        elif field == 2:
+            out.ranks = dict(_message(value)).get(3, 1) == bpe
+        elif field == 3:
+            rules = dict(_message(value))
+            out.charmap, out.dummy, out.squeeze = _charmap(rules.get(2, b"")), bool(rules.get(3, 1)), bool(rules.get(4, 1))
+    return out
 
 
 def costs(pieces: list[tuple[str, float, str]]) -> dict[int, float]:
-    """The cost of each normal piece: -score, or of whole-number ranks a Zipf law's negative logarithm."""
+    """The cost of each normal piece: -score, or of a vocabulary of ranks a Zipf law's negative logarithm."""
     normal = {i: s for i, (_, s, k) in enumerate(pieces) if k == "normal"}
-    ranks = all(s <= 0 and s == int(s) for s in normal.values())
     last = max((-s for s in normal.values() if s > -1e8), default=1.0)
-    return {i: math.log(min(-s, last) + 2) if ranks else -s for i, s in normal.items()}
+    return {i: math.log(min(-s, last) + 2) if getattr(pieces, "ranks", False) else -s for i, s in normal.items()}
 
 
 class Transducer:
@@ -72,6 +145,28 @@ class Transducer:
                 node = node.setdefault(ch, {})
             node[""] = (w, i)
         self.known: dict[str, list[int]] = {}
+        self.dummy, self.squeeze = getattr(pieces, "dummy", True), getattr(pieces, "squeeze", False)
+        self.charmap: dict = {}
+        for key, new in getattr(pieces, "charmap", {}).items():
+            node = self.charmap
+            for ch in key:
+                node = node.setdefault(ch, {})
+            node[""] = new
+
+    def plain(self, text: str) -> str:
+        """What encoding keeps of a text: the longest keys of the character map replaced, runs of spaces shrunk if the model does so."""
+        if self.charmap:
+            out, i, n = [], 0, len(text)
+            while i < n:
+                node, j, best, end = self.charmap, i, text[i], i + 1
+                while j < n and (node := node.get(text[j])) is not None:
+                    j += 1
+                    if (new := node.get("")) is not None:
+                        best, end = new, j
+                out.append(best)
+                i = end
+            text = "".join(out)
+        return re.sub(" +", " ", text.strip(" ")) if self.squeeze else text
 
     def __getstate__(self):
         return {**self.__dict__, "known": {}}
@@ -96,13 +191,15 @@ class Transducer:
         return out[::-1]
 
     def encode(self, text: str) -> list[int]:
+        text = self.plain(text)
+        front = META if self.dummy else ""
         if META in text:
             out: list[int] = []
             for k, plain in enumerate(text.split(META)):
                 out += [self.bytes[b] for b in META.encode()] if k else []
-                out += self._run((META if not k else "") + plain.replace(" ", META))
+                out += self._run((front if not k else "") + plain.replace(" ", META))
             return out
-        return self._run(META + text.replace(" ", META)) if text else []
+        return self._run(front + text.replace(" ", META)) if text else []
 
     def _run(self, normal: str) -> list[int]:
         out, known = [], self.known
@@ -117,28 +214,23 @@ class Transducer:
         return out
 
     def decode(self, ids: list[int]) -> str:
-        """The inverse: ids to bytes, meta symbols to spaces, the dummy space dropped."""
+        """The inverse, up to normalisation: ids to bytes, meta symbols to spaces, the dummy space dropped."""
         if not hasattr(self, "_raw"):
             self._raw = [bytes([self.byte_of[i]]) if i in self.byte_of else p.replace(META, " ").encode() for i, p in enumerate(self.pieces)]
         raw = self._raw
-        return b"".join([raw[i] for i in ids])[1:].decode("utf-8", "replace") if len(ids) else ""
-
-
-_here: dict[int, Transducer] = {}
+        return b"".join([raw[i] for i in ids])[self.dummy :].decode("utf-8", "replace") if len(ids) else ""
 
 
 def encode(docs: DataFrame, machine: Transducer) -> DataFrame:
-    """doc_id, ids, n_tokens, and whether decoding them gives the text back, of every row of `docs`."""
-    key = hash(tuple(machine.pieces[:1000:7])) ^ len(machine.pieces)
-
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = _here.setdefault(key, machine)  # a worker that is used again keeps its memory of parts
-        for f in frames:
-            for k in range(0, len(f), 500):
-                g = f.iloc[k : k + 500]
-                texts = [t if isinstance(t, str) else None for t in g["text"]]
-                ids = [None if t is None else np.array(m.encode(t), np.int32) for t in texts]
-                back = [None if t is None else m.decode(x.tolist()) == t for t, x in zip(texts, ids, strict=True)]
-                yield pd.DataFrame({"doc_id": g["doc_id"].to_numpy(), "ids": ids, "n_tokens": [None if x is None else len(x) for x in ids], "round_trip": back}).astype({"n_tokens": "Int64", "round_trip": "boolean"})
-
-    return docs.select("doc_id", "text").mapInPandas(batches, "doc_id long, ids array<int>, n_tokens long, round_trip boolean")
+    """doc_id, ids, n_tokens, and whether decoding them gives the normalised text back, of every row of `docs`."""
+
+    @F.pandas_udf("ids array<int>, round_trip boolean")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        ids, back = [], []
+        for t in texts:
+            ids.append(np.array(machine.encode(t), np.int32) if isinstance(t, str) else None)
+            back.append(machine.decode(ids[-1].tolist()) == machine.plain(t) if isinstance(t, str) else None)
+        return pd.DataFrame({"ids": ids, "round_trip": pd.array(back, "boolean")})
+
+    found = docs.select("doc_id", run(F.col("text")).alias("r")).select("doc_id", "r.ids", "r.round_trip")
+    return found.select("doc_id", "ids", F.when(F.col("ids").isNotNull(), F.size("ids")).cast("long").alias("n_tokens"), "round_trip")
