@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagweave.llm import decontaminate, ngram_join, pii, registry, toxicity, wfst
-from lagweave.llm.common import cut
+from lagweave.llm.common import cut, cuts_made, drop_cuts
 from lagweave.sources.tables import table
 
 
@@ -29,7 +29,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    replaced = pii.replace(docs, registry.PII_KEY).drop("entities")
+    replaced = pii.replace(docs, registry.PII_KEY)
     if "n_chars" in docs.columns:
         replaced = replaced.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return replaced.select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -52,9 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), cuts_made()
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = cut(docs)
+            drop_cuts(spark, before, but=docs)  # what the stage has read or left behind
     return docs
