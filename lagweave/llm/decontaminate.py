@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 RATE = 0.2
 #: Longest q-gram, and diagonals of a bin as a power of two. Buckets of q-grams, as a power of two: one that several share only adds to counts.
 GRAM, BIN, BUCKETS = 4, 3, 20
-#: Code points of the items of one block at most: what an executor holds of the query set.
-BLOCK_CHARS = 250_000
+#: Code points and number of the items of one block at most: what an executor holds of the query set.
+BLOCK_CHARS, BLOCK_ITEMS = 250_000, 4000
 #: Code points of documents that are searched together, and counted together; stretches of text verified together, and new places of one.
-BATCH, CHUNK, LANES, STRETCH = 4_000_000, 16_384, 4096, 1024
+BATCH, CHUNK, LANES, STRETCH = 10_000_000, 16_384, 8192, 256
 SPACES = "\t\n\x0b\x0c\r"
 
 
@@ -117,10 +117,14 @@ class Grams:
     """The q-grams of some items by bucket, and the counts that tell where an item may be."""
 
     def __init__(self, q: int, which: np.ndarray, codes: list[np.ndarray], edits: np.ndarray):
+        by_band = np.argsort(-(-edits // (1 << BIN)), kind="stable")
+        which, edits = which[by_band], edits[by_band]
         self.q, self.which, self.edits = q, which, edits
         self.sizes = np.array([len(codes[k]) for k in which])
         self.least = self.sizes - q + 1 - q * edits
         self.band = -(-edits // (1 << BIN)) + 1  # bins that cover edits + 1 diagonals wherever they begin
+        turns = np.flatnonzero(np.diff(self.band, prepend=-1))
+        self.bands = [(int(a), int(b), int(self.band[a])) for a, b in zip(turns, [*turns[1:], len(edits)], strict=True)]
         self.reach = int((self.sizes + edits).max())
         self.off = (-(-int(self.sizes.max()) >> BIN) + 1) << BIN
         self.bins = ((CHUNK + self.reach + self.off) >> BIN) + 2
@@ -128,7 +132,7 @@ class Grams:
         flat = np.concatenate(bucket)
         place = np.concatenate([r * (self.bins << BIN) + self.off - np.arange(len(x)) for r, x in enumerate(bucket)])
         order = np.argsort(flat, kind="stable")
-        self.place = place[order]
+        self.place = place[order].astype(np.int32)  # below 2^31: a block has few items, and few rows of bins
         self.count = np.bincount(flat, minlength=(1 << BUCKETS) + 1)
         self.first = np.cumsum(self.count) - self.count
         self.count[-1] = 0
@@ -152,23 +156,42 @@ class Grams:
             count = self.count[part]
             j = np.flatnonzero(count)
             count = count[j]
-            entry = np.repeat(self.first[part[j]] - (np.cumsum(count) - count), count)
-            entry += np.arange(len(entry))
-            key = self.place[entry]
-            key += np.repeat(j, count)
-            key >>= BIN
+            entry = np.repeat((self.first[part[j]] - (np.cumsum(count) - count)).astype(np.int32), count)
+            entry += np.arange(len(entry), dtype=np.int32)
+            exact = self.place.take(entry)
+            exact += np.repeat(j.astype(np.int32), count)
+            key = (exact >> BIN).astype(np.intp)
             sums = np.zeros((len(self.which), self.bins + 1), np.int32)
             np.cumsum(np.bincount(key, minlength=len(self.which) * self.bins).reshape(-1, self.bins), axis=1, out=sums[:, 1:])
-            for band in np.unique(self.band):
-                rows = np.flatnonzero(self.band == band)
-                r, c = np.nonzero(sums[rows, band:] - sums[rows, :-band] >= self.least[rows, None])
-                if not len(r):
-                    continue
-                k = rows[r]
-                begin = (c << BIN) - self.off + low
-                end = begin + (band << BIN) + self.sizes[k]
-                new = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (begin[1:] > end[:-1])])
-                yield self.which[k[new]], begin[new], end[np.r_[new[1:], len(k)] - 1]
+            hits = []
+            for a, b, band in self.bands:
+                r, c = np.divmod(np.flatnonzero(sums[a:b, band:] - sums[a:b, :-band] >= self.least[a:b, None]), self.bins + 1 - band)
+                hits.append((r + a, c))
+            k, c = (np.concatenate(x) for x in zip(*hits, strict=True))
+            if not len(k):
+                continue
+            good = self._dense(exact, key, k, c)
+            first = k * self.bins + c
+            near = np.searchsorted(good, first)
+            near = np.flatnonzero(np.r_[good, len(self.which) * self.bins][near] < first + self.band[k])
+            if not len(near):
+                continue
+            k, c = k[near], c[near]
+            begin = (c << BIN) - self.off + low
+            end = begin + (self.band[k] << BIN) + self.sizes[k]
+            new = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (begin[1:] > end[:-1])])
+            yield self.which[k[new]], begin[new], end[np.r_[new[1:], len(k)] - 1]
+
+    def _dense(self, exact: np.ndarray, key: np.ndarray, k: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The bins, in order, where the last of so many q-grams on edits + 1 neighbouring diagonals lies; looked for in the bands (k, c) alone."""
+        row = self.bins << BIN
+        hot = np.zeros(len(self.which) * self.bins + 1, np.int32)
+        np.add.at(hot, k * self.bins + c, 1)
+        np.add.at(hot, k * self.bins + c + self.band[k], -1)
+        some = np.sort(exact[np.cumsum(hot[:-1]).astype(bool)[key]])
+        item = some // row
+        low = np.searchsorted(some, np.maximum(some - self.edits[item], item * row).astype(np.int32))
+        return np.unique(some[np.arange(1, len(some) + 1) - low >= self.least[item]] >> BIN)
 
 
 class Block:
@@ -279,7 +302,7 @@ def blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of bounded size, streamed through the driver one partition at a time."""
     held, size = [], 0
     for r in items.where("length(text) > 0").select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
-        if held and size + len(r.text) > BLOCK_CHARS:
+        if held and (size + len(r.text) > BLOCK_CHARS or len(held) == BLOCK_ITEMS):
             yield held
             held, size = [], 0
         held.append((r.item_id, r.text))
@@ -300,11 +323,12 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataF
                 out[r].append({"item_id": held[k][0], "distance": d, "item_chars": len(held[k][1]), "start": at})
             return pd.Series(out)
 
-        return F.pandas_udf(search, "array<struct<item_id:long,distance:int,item_chars:int,start:long>>")
+        # said to be nondeterministic lest a filter on what it finds run it twice
+        return F.pandas_udf(search, "array<struct<item_id:long,distance:int,item_chars:int,start:long>>").asNondeterministic()
 
     for held in blocks(items):
         block = docs.sparkSession.sparkContext.broadcast(Block(held, rate))  # at most BLOCK_CHARS of items
-        some = docs.where(F.length("text") > 0).select(F.col("doc_id").cast("long").alias("doc_id"), searcher(block)(F.col("text")).alias("f")).where(F.size("f") > 0)
+        some = docs.where(F.length("text") > 0).select(F.col("doc_id").cast("long").alias("doc_id"), searcher(block)(F.col("text")).alias("f"))
         found = found.unionByName(some.select("doc_id", F.explode("f").alias("f")).select("doc_id", "f.*"))
     return found
 
