@@ -27,15 +27,30 @@ def cmi(y: np.ndarray, x: np.ndarray, z: np.ndarray) -> float:
     return max(0.0, _entropy(yz) + _entropy(xz) - _entropy(yz * kx + x) - _entropy(z))
 
 
-def shuffled(y: np.ndarray, z: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """y permuted within the strata of z."""
-    order = np.lexsort((rng.random(len(y)), z))
-    base = np.argsort(z, kind="stable")
-    out = np.empty_like(y)
-    out[base] = y[order]
+def strata(z: np.ndarray) -> list[np.ndarray]:
+    """The rows of each code of z that has two or more."""
+    ends = np.cumsum(np.bincount(z))[:-1]
+    return [rows for rows in np.split(np.argsort(z, kind="stable"), ends) if len(rows) > 1]
+
+
+def shuffled(y: np.ndarray, groups: list[np.ndarray], rng: np.random.Generator) -> np.ndarray:
+    """y with the values of each group of rows dealt out anew among them."""
+    out = y.copy()
+    for rows in groups:
+        out[rows] = rng.permutation(y[rows])
     return out
 
 
+def exceeds(value: float, null, n_perm: int, alpha: float, tol: float = 1e-12) -> float | None:
+    """The p value of a statistic against draws null(), or None as soon as it can't be alpha or less."""
+    above = 0
+    for _ in range(n_perm):
+        above += null() >= value - tol
+        if 1 + above > alpha * (1 + n_perm):
+            return None
+    return (1 + above) / (1 + n_perm)
+
+
 def upper_p(null: np.ndarray, value: float, tol: float = 1e-12) -> float:
     return (1 + int((np.asarray(null) >= value - tol).sum())) / (1 + len(null))
 
@@ -43,13 +58,14 @@ def upper_p(null: np.ndarray, value: float, tol: float = 1e-12) -> float:
 def permutation_test(y: np.ndarray, x: np.ndarray, z: np.ndarray, n_perm: int, seed: int) -> tuple[float, float]:
     """The conditional mutual information and its p value under permutations within strata."""
     rng = np.random.default_rng(seed)
-    v = cmi(y, x, z)
-    return v, upper_p([cmi(shuffled(y, z, rng), x, z) for _ in range(n_perm)], v)
+    v, groups = cmi(y, x, z), strata(z)
+    return v, upper_p([cmi(shuffled(y, groups, rng), x, z) for _ in range(n_perm)], v)
 
 
-def bootstrap_interval(y: np.ndarray, x: np.ndarray, z: np.ndarray, n_boot: int, seed: int, block: float = 10.0, confidence: float = 0.95) -> tuple[float, float]:
-    """Percentile interval of the stationary bootstrap of aligned rows: blocks of geometric length."""
+def bootstrap_interval(y: np.ndarray, x: np.ndarray, z: np.ndarray, n_boot: int, seed: int, block: float | None = None, confidence: float = 0.95) -> tuple[float, float]:
+    """Percentile interval of the stationary bootstrap of aligned rows: blocks of geometric length, the cube root of their number in the mean."""
     rng, n, values = np.random.default_rng(seed), len(y), []
+    block = block or max(1.0, n ** (1 / 3))
     for _ in range(n_boot):
         new = rng.random(n) < 1 / block
         new[0] = True
@@ -67,8 +83,12 @@ def lagged(codes: np.ndarray, variable: tuple[int, int], start: int) -> np.ndarr
     return codes[start - lag : len(codes) - lag, p]
 
 
+#: Rounds of single sources and pairs.
+ROUNDS = 4
+
+
 def select_parents(codes: np.ndarray, target: int, max_lag: int = 3, n_perm: int = 100, alpha: float = 0.05, seed: int = 0) -> dict:
-    """Greedy forward selection of own past, then of sources, by the maximum statistic; then backward elimination and an omnibus test."""
+    """Greedy forward selection of own past, then of sources, by the maximum statistic. Where no single source is left, all pairs of the rest are tested together, so that sources that tell something only jointly are found; up to ROUNDS times. Then backward elimination and an omnibus test."""
     rng = np.random.default_rng(seed)
     y = codes[max_lag:, target]
     columns = {(p, lag): lagged(codes, (p, lag), max_lag) for p in range(codes.shape[1]) for lag in range(1, max_lag + 1)}
@@ -78,25 +98,40 @@ def select_parents(codes: np.ndarray, target: int, max_lag: int = 3, n_perm: int
     def grow(candidates: list, chosen: list) -> list:
         chosen = list(chosen)
         while rest := [c for c in candidates if c not in chosen]:
-            z = context(chosen)
-            values = [cmi(y, columns[c], z) for c in rest]
-            best = int(np.argmax(values))
-            null = []
-            for _ in range(n_perm):
-                s = shuffled(y, z, rng)
-                null.append(max(cmi(s, columns[c], z) for c in rest))
-            if upper_p(null, values[best]) > alpha:
+            best = strongest([(c,) for c in rest], chosen)
+            if best is None:
                 break
-            chosen.append(rest[best])
+            chosen.extend(best)
         return chosen
 
+    def strongest(groups: list[tuple], chosen: list) -> tuple | None:
+        """The group of candidates that tells most about y given `chosen`, if the maximum over all groups is significant."""
+        z = context(chosen)
+        codes, rows = [context(list(g)) for g in groups], strata(z)
+        values = [cmi(y, x, z) for x in codes]
+
+        def null() -> float:
+            s = shuffled(y, rows, rng)
+            return max(cmi(s, x, z) for x in codes)
+
+        best = int(np.argmax(values))
+        return None if exceeds(values[best], null, n_perm, alpha) is None else groups[best]
+
     own = grow([(target, lag) for lag in range(1, max_lag + 1)], [])
-    kept = grow([v for v in columns if v[0] != target], own)
-    sources, p_of = [v for v in kept if v not in own], {}
+    others, kept = [v for v in columns if v[0] != target], list(own)
+    for _ in range(ROUNDS):
+        kept = grow(others, kept)
+        rest = [v for v in columns if v not in kept]
+        pairs = [(a, b) for k, a in enumerate(rest) for b in rest[k + 1 :] if a[0] != target or b[0] != target]
+        joint_pair = strongest(pairs, kept) if pairs else None
+        if joint_pair is None:
+            break
+        kept += joint_pair
+    own, sources, p_of = [v for v in kept if v[0] == target], [v for v in kept if v[0] != target], {}
     for v in list(sources):
         z = context([u for u in own + sources if u != v])
-        value = cmi(y, columns[v], z)
-        p = upper_p([cmi(shuffled(y, z, rng), columns[v], z) for _ in range(n_perm)], value)
+        value, rows = cmi(y, columns[v], z), strata(z)
+        p = upper_p([cmi(shuffled(y, rows, rng), columns[v], z) for _ in range(n_perm)], value)
         if p > alpha:
             sources.remove(v)
         else:
@@ -113,16 +148,28 @@ def joint(y: np.ndarray, x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return p / p.sum()
 
 
-def _objective(p: np.ndarray, theta: np.ndarray) -> tuple[float, np.ndarray]:
-    """I[Y : X | Z] for Z from W through a softmax channel, and its gradient."""
-    q = np.exp(theta - theta.max(axis=1, keepdims=True))
-    q /= q.sum(axis=1, keepdims=True)
-    r = np.einsum("yxw,wz->yxz", p, q)
-    tiny = 1e-300
-    ratio = np.log2((r + tiny) * (r.sum((0, 1)) + tiny) / ((r.sum(1, keepdims=True) + tiny) * (r.sum(0, keepdims=True) + tiny)))
-    ratio = np.where(r > 1e-15, ratio, 0.0)
-    g = np.einsum("yxw,yxz->wz", p, ratio)
-    return float((r * ratio).sum()), q * (g - (q * g).sum(axis=1, keepdims=True))
+class Garbled:
+    """I[Y : X | Z] as a function of a channel from W to Z: four sums of m log2 m over tables that are linear in the channel, so the gradient is each table's own transpose applied to its logarithms."""
+
+    def __init__(self, p: np.ndarray):
+        w = p.shape[2]
+        self.tables = [(p.reshape(-1, w), 1), (p.sum(1), -1), (p.sum(0), -1), (p.sum((0, 1))[None], 1)]
+
+    def __call__(self, channel: np.ndarray) -> tuple[float, np.ndarray]:
+        value, slope = 0.0, np.zeros_like(channel)
+        for table, sign in self.tables:
+            m = table @ channel
+            log = np.log2(np.where(m > 1e-300, m, 1.0))
+            value += sign * float((m * log).sum())
+            slope += sign * (table.T @ log)
+        return value, slope
+
+    def at(self, logits: np.ndarray) -> tuple[float, np.ndarray]:
+        """The value for the channel with these logits, and the gradient on the probability simplex, mapped to them."""
+        log_channel = logits - np.logaddexp.reduce(logits, axis=1)[:, None]
+        channel = np.exp(log_channel)
+        value, slope = self(channel)
+        return value, channel * (slope - np.einsum("wz,wz->w", channel, slope)[:, None])
 
 
 def mutual(p: np.ndarray) -> float:
@@ -136,13 +183,13 @@ def mutual(p: np.ndarray) -> float:
 def layers(p: np.ndarray, bound: int | None = None, restarts: int = 3, steps: int = 250, rate: float = 0.2, seed: int = 0) -> dict[str, float]:
     """Transfer entropy split into intrinsic and synergistic flow, time-delayed information into intrinsic and shared: the intrinsic part is the least information over all garblings of the context."""
     te, tdmi = mutual(p), mutual(p.sum(2, keepdims=True))
-    rng, n = np.random.default_rng(seed), p.shape[2]
+    rng, n, garbled = np.random.default_rng(seed), p.shape[2], Garbled(p)
     best, size = min(te, tdmi), min(n, bound or n)
     for _ in range(restarts if n > 1 else 0):
         theta = rng.normal(0, 2.0, (n, size))
         m, v = np.zeros_like(theta), np.zeros_like(theta)
         for k in range(1, steps + 1):
-            value, g = _objective(p, theta)
+            value, g = garbled.at(theta)
             best = min(best, value)
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             theta = theta - rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-9)
@@ -159,20 +206,58 @@ def psi(n: np.ndarray) -> np.ndarray:
     return out
 
 
-def ksg(x: np.ndarray, y: np.ndarray, z: np.ndarray | None = None, k: int = 4, chunk: int = 256) -> float:
-    """Nearest-neighbour (conditional) mutual information in bits: maximum norm, strict counts that include the point; not clipped."""
-    cols = [np.asarray(c, float).reshape(len(x), -1) for c in (x, y) + (() if z is None else (z,))]
-    n, total = len(x), 0.0
-    for i in range(0, n, chunk):
-        d = [np.abs(c[i : i + chunk, None] - c[None]).max(axis=2) for c in cols]
-        whole = np.maximum.reduce(d)
-        radius = np.nextafter(np.partition(whole, k, axis=1)[:, k], 0)[:, None]
-        count = lambda *a: (np.maximum.reduce(a) <= radius).sum(axis=1)
-        if z is None:
-            total += float((psi(count(d[0])) + psi(count(d[1]))).sum())
-        else:
-            total += float((psi(count(d[0], d[2])) + psi(count(d[1], d[2])) - psi(count(d[2]))).sum())
-    return float((psi(k) + (psi(n) if z is None else 0) - total / n) / math.log(2))
+class Sorted:
+    """Points in the order of their first coordinate: whatever lies within a distance of a point, in the maximum norm, lies in one stretch of it."""
+
+    def __init__(self, points: np.ndarray):
+        self.order = np.argsort(points[:, 0], kind="stable")
+        self.points = points[self.order]
+        self.first = self.points[:, 0]
+
+    def neighbour(self, k: int, chunk: int = 128) -> np.ndarray:
+        """The distance of each point from its k-th neighbour: the stretch around a chunk is doubled until no point beyond it can be nearer."""
+        n, out = len(self.points), np.empty(len(self.points))
+        for a in range(0, n, chunk):
+            b, reach = min(n, a + chunk), 4 * chunk
+            while True:
+                low, high = max(0, a - reach), min(n, b + reach)
+                d = np.zeros((b - a, high - low))
+                for c in self.points.T:
+                    np.maximum(d, np.abs(c[a:b, None] - c[None, low:high]), out=d)
+                radius = np.partition(d, k, axis=1)[:, k]
+                free = np.minimum(self.first[a:b] - (self.first[low - 1] if low else -np.inf), (self.first[high] if high < n else np.inf) - self.first[a:b])
+                if (radius <= free).all():
+                    break
+                reach *= 2
+            out[self.order[a:b]] = radius
+        return out
+
+    def within(self, radius: np.ndarray, chunk: int = 128) -> np.ndarray:
+        """How many points, itself among them, are nearer to each point than its radius."""
+        r, out = radius[self.order], np.empty(len(radius), np.int64)
+        if self.points.shape[1] == 1:  # sums and differences may round ties differently, which jittered values don't have
+            out[self.order] = np.maximum(np.searchsorted(self.first, self.first + r, side="left") - np.searchsorted(self.first, self.first - r, side="right"), 1)
+            return out
+        wide = r * (1 + 1e-9)
+        low, high = np.searchsorted(self.first, self.first - wide, side="left"), np.searchsorted(self.first, self.first + wide, side="right")
+        for a in range(0, len(r), chunk):
+            s = slice(a, a + chunk)
+            lo, hi = int(low[s].min()), int(high[s].max())
+            near = np.ones((len(r[s]), hi - lo), bool)
+            for c in self.points.T:
+                near &= np.abs(c[s, None] - c[None, lo:hi]) < r[s, None]
+            out[self.order[s]] = np.maximum(near.sum(axis=1), 1)
+        return out
+
+
+def ksg(x: np.ndarray, y: np.ndarray, z: np.ndarray | None = None, k: int = 4) -> float:
+    """Nearest-neighbour (conditional) mutual information in bits: maximum norm, neighbours nearer than the k-th one counted, the point among them; may be negative."""
+    x, y = (np.asarray(c, float).reshape(len(c), -1) for c in (x, y))
+    z = np.empty((len(x), 0)) if z is None else np.asarray(z, float).reshape(len(x), -1)
+    radius = Sorted(np.hstack([x, y, z])).neighbour(k)
+    inner = psi(Sorted(z).within(radius)) if z.shape[1] else psi(np.full(len(x), len(x)))
+    sides = sum(psi(Sorted(np.hstack([c, z])).within(radius)) for c in (x, y))
+    return float((psi(k) + np.mean(inner - sides)) / math.log(2))
 
 
 def capacity(q: np.ndarray, rounds: int = 500, tol: float = 1e-10) -> float:

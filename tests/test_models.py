@@ -105,6 +105,19 @@ def test_backbone_of_a_chain():
     assert abs(spectral.rate(spectral.coherence(s, 0, 1)) - 0.5) < 0.08  # white input at equal power: log2(2) / 2
 
 
+def test_drawn_series_have_the_spectra_given():
+    rng = np.random.default_rng(3)
+    e = rng.normal(size=(60_000, 3))
+    x = np.column_stack([e[:, 0], np.r_[0, e[:-1, 0]] + e[:, 1], e[:, 2] + 0.5 * e[:, 1]])
+    s = spectral.spectrum(x, 32)
+    low = spectral.factor(s)
+    assert np.allclose(low @ low.conj().transpose(0, 2, 1), s, atol=1e-6)
+    again = spectral.spectrum(spectral.draw(s, 60_000, rng), 32)
+    assert np.abs(again - s).max() < 0.25
+    cut = spectral.spectrum(spectral.draw(spectral.unlinked(s, 0, 1, False), 60_000, rng), 32)
+    assert spectral.rate(spectral.coherence(cut, 0, 1)) < 0.01 < spectral.rate(spectral.coherence(s, 0, 1))
+
+
 def test_families():
     assert [len(families.graphs(n)) for n in (2, 3, 4)] == [3, 25, 543]
     chain = frozenset({(0, 1), (1, 2)})
