@@ -20,8 +20,8 @@ ORACLES: dict[str, str] = {}
 
 # Views shared by the SQL twins.
 _SQL = {
-    "raw": "raw AS (SELECT event_type AS process, floor(date_diff('second', TIMESTAMP '2024-01-01', ts) / 3600)::BIGINT AS t, value FROM events)",
-    "spine": "spine AS (SELECT process, t FROM (SELECT DISTINCT event_type AS process FROM events), (SELECT unnest(range(0, 720)) AS t))",
+    "raw": "raw AS (SELECT event_type AS process, floor(date_diff('second', (SELECT date_trunc('day', min(ts)::TIMESTAMP)::TIMESTAMP FROM events), ts::TIMESTAMP) / 3600)::BIGINT AS t, value FROM events)",
+    "spine": "spine AS (SELECT process, t FROM (SELECT DISTINCT event_type AS process FROM events), (SELECT unnest(range(0, (SELECT floor(max(t) / 24)::BIGINT * 24 + 24 FROM raw))) AS t))",
     "hour": "hour AS (SELECT 0::BIGINT AS trial, s.t, s.process, coalesce(c.n, 0)::DOUBLE AS value FROM spine s LEFT JOIN (SELECT process, t, count(*) AS n FROM raw GROUP BY ALL) c USING (process, t))",
     "val": "val AS (SELECT 0::BIGINT AS trial, s.t, s.process, c.v AS value FROM spine s LEFT JOIN (SELECT process, t, avg(value) AS v FROM raw GROUP BY ALL) c USING (process, t))",
     "day": "day AS (SELECT 0::BIGINT AS trial, date_diff('day', DATE '1992-01-01', l_shipdate::DATE)::BIGINT AS t, v.process, sum(CASE v.process WHEN 'quantity' THEN l_quantity WHEN 'price' THEN l_extendedprice ELSE l_discount END) AS value FROM lineitem, (VALUES ('quantity'), ('price'), ('discount')) v(process) GROUP BY ALL)",
@@ -69,8 +69,7 @@ def ev_hour(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ev_spikes(spark: SparkSession, d: str) -> DataFrame:
-    since = F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.lit(series.EPOCH).cast("timestamp"))
-    return table(spark, d, "events").select(F.col("event_type").alias("neuron"), since.cast("double").alias("ts"))
+    return series.seconds(table(spark, d, "events")).select(F.col("event_type").alias("neuron"), F.col("s").cast("double").alias("ts"))
 
 
 def ev_value(spark: SparkSession, d: str) -> DataFrame:
@@ -111,18 +110,10 @@ def _(s, d):
 
 @query(
     "spike_bin_dense",
-    "SELECT p.neuron AS process, b.t, coalesce(c.n, 0)::BIGINT AS n FROM (SELECT DISTINCT event_type AS neuron FROM events) p, (SELECT unnest(range(0, 1440)) AS t) b LEFT JOIN (SELECT event_type AS neuron, floor(date_diff('second', TIMESTAMP '2024-01-01', ts) / 600.0 + 1e-9)::BIGINT AS t, count(*) AS n FROM events GROUP BY ALL) c ON c.neuron = p.neuron AND c.t = b.t",
-)
-def _(s, d):
-    """The first ten days of the events only, as the SQL has it; spike_bin_whole bins all of them."""
-    return series.spike_bins(ev_spikes(s, d), 600.0, 0.0, 864000.0)
-
-
-@query(
-    "spike_bin_whole",
-    "SELECT p.neuron AS process, b.t, coalesce(c.n, 0)::BIGINT AS n FROM (SELECT DISTINCT event_type AS neuron FROM events) p, (SELECT unnest(range(0, (SELECT greatest(ceil(max(date_diff('second', TIMESTAMP '2024-01-01', ts)) / 600.0 + 1 - 1e-9), 1)::BIGINT FROM events))) AS t) b LEFT JOIN (SELECT event_type AS neuron, floor(date_diff('second', TIMESTAMP '2024-01-01', ts) / 600.0 + 1e-9)::BIGINT AS t, count(*) AS n FROM events GROUP BY ALL) c ON c.neuron = p.neuron AND c.t = b.t",
+    "WITH e AS (SELECT event_type AS neuron, date_diff('second', (SELECT date_trunc('day', min(ts)::TIMESTAMP)::TIMESTAMP FROM events), ts::TIMESTAMP) AS s FROM events) SELECT p.neuron AS process, b.t, coalesce(c.n, 0)::BIGINT AS n FROM (SELECT DISTINCT neuron FROM e) p, (SELECT unnest(range(0, (SELECT greatest(ceil(max(s) / 600.0 + 1 - 1e-9), 1)::BIGINT FROM e))) AS t) b LEFT JOIN (SELECT neuron, floor(s / 600.0 + 1e-9)::BIGINT AS t, count(*) AS n FROM e GROUP BY ALL) c ON c.neuron = p.neuron AND c.t = b.t",
 )
 def _(s, d):
+    """All events in bins of ten minutes."""
     return series.spike_bins(ev_spikes(s, d), 600.0)
 
 
@@ -218,12 +209,12 @@ def _(s, d):
     return align.common_sample(ev_pairs(s, d, (1, 2, 3, 4, 5)), 5).groupBy(*EDGE).agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first"))
 
 
-@query("split_time", "SELECT trial, part, t - CASE part WHEN 1 THEN 360 ELSE 0 END AS t, process, code FROM (SELECT *, (t >= 360)::INT AS part FROM sym)", ("sym",))
+@query("split_time", "SELECT trial, part, t - CASE part WHEN 1 THEN h ELSE 0 END AS t, process, code FROM (SELECT *, (t >= h)::INT AS part FROM sym, (SELECT floor((max(t) + 1) / 2)::BIGINT AS h FROM sym))", ("sym",))
 def _(s, d):
     return align.split_time(ev_symbols(s, d), 0.5)
 
 
-@query("regime_windows", "SELECT trial, floor(t / 100)::BIGINT AS \"window\", t % 100 AS t, process, code FROM sym WHERE t < 700", ("sym",))
+@query("regime_windows", "SELECT trial, floor(t / 100)::BIGINT AS \"window\", t % 100 AS t, process, code FROM sym WHERE t < (SELECT floor((max(t) + 1) / 100) * 100 FROM sym)", ("sym",))
 def _(s, d):
     return align.windows(ev_symbols(s, d), 100)
 
@@ -347,14 +338,15 @@ def _(s, d):
     return h.agg(F.round(F.sum(weight * F.col("h")), 9).alias("omega"))
 
 
-_SHIFT = "(SELECT source, target, k, (sum(n * log2(n)) - sum(CASE WHEN ra = 1 THEN na * log2(na) ELSE 0 END) - sum(CASE WHEN rb = 1 THEN nb * log2(nb) ELSE 0 END)) / sum(n) + log2(sum(n)) AS mi FROM (SELECT *, sum(n) OVER (PARTITION BY source, target, k, y) AS na, row_number() OVER (PARTITION BY source, target, k, y) AS ra, sum(n) OVER (PARTITION BY source, target, k, x) AS nb, row_number() OVER (PARTITION BY source, target, k, x) AS rb FROM (SELECT b.process AS source, a.process AS target, k.k, a.code AS y, b.code AS x, count(*) AS n FROM sym a JOIN (SELECT unnest(range(0, 20)) AS k) k ON true JOIN sym b ON b.process <> a.process AND b.t = (a.t + 719 + 36 * k.k) % 720 GROUP BY ALL)) GROUP BY ALL)"
+_SHIFT = "(SELECT source, target, k, (sum(n * log2(n)) - sum(CASE WHEN ra = 1 THEN na * log2(na) ELSE 0 END) - sum(CASE WHEN rb = 1 THEN nb * log2(nb) ELSE 0 END)) / sum(n) + log2(sum(n)) AS mi FROM (SELECT *, sum(n) OVER (PARTITION BY source, target, k, y) AS na, row_number() OVER (PARTITION BY source, target, k, y) AS ra, sum(n) OVER (PARTITION BY source, target, k, x) AS nb, row_number() OVER (PARTITION BY source, target, k, x) AS rb FROM (SELECT b.process AS source, a.process AS target, k.k, a.code AS y, b.code AS x, count(*) AS n FROM sym a JOIN (SELECT unnest(range(0, 20)) AS k) k ON true JOIN sym b ON b.process <> a.process AND b.t = (a.t + (SELECT max(t) FROM sym) + 36 * k.k) % (SELECT max(t) + 1 FROM sym) GROUP BY ALL)) GROUP BY ALL)"
 
 
-def shift_null(spark: SparkSession, d: str, shifts: int = 20, step: int = 36, n: int = series.HOURS) -> DataFrame:
+def shift_null(spark: SparkSession, d: str, shifts: int = 20, step: int = 36) -> DataFrame:
     """Time-delayed mutual information of all pairs against circular shifts of the source: the observed value, and the share of shifts that reach it."""
     sym = ev_symbols(spark, d)
     moved = sym.select(F.col("process").alias("source"), F.col("code").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(shifts - 1))).alias("k"), "t")
-    moved = moved.withColumn("t", F.pmod(F.col("t") + 1 - step * F.col("k"), F.lit(n)))
+    steps = sym.agg((F.max("t") + 1).alias("steps"))
+    moved = moved.crossJoin(F.broadcast(steps)).withColumn("t", F.pmod(F.col("t") + 1 - step * F.col("k"), F.col("steps"))).drop("steps")
     rows = sym.select(F.col("process").alias("target"), F.col("code").alias("y"), "t").join(moved, "t").where("source != target")
     keys = ["source", "target", "k"]
     mi = info.conditional_mi(info.counts(rows, keys, ["y", "x"]), keys, w=[])
@@ -387,10 +379,7 @@ def _(s, d):
 
 @query("ebh_select", "SELECT source, target, e, r <= max(CASE WHEN e >= m / (0.5 * r) THEN r ELSE 0 END) OVER () AS selected FROM (SELECT source, target, round(1 / p, 9) AS e, count(*) OVER () AS m, row_number() OVER (ORDER BY 1 / p DESC, source, target) AS r FROM shift)", ("shift",))
 def _(s, d):
-    rows = shift_null(s, d).select("source", "target", F.round(1 / F.col("p"), 9).alias("e"))
-    by = Window.partitionBy(F.lit(0))
-    rows = rows.withColumn("m", F.count(F.lit(1)).over(by)).withColumn("r", F.row_number().over(by.orderBy(F.desc("e"), "source", "target")))
-    return rows.select("source", "target", "e", (F.col("r") <= F.max(F.when(F.col("e") >= F.col("m") / (0.5 * F.col("r")), F.col("r")).otherwise(0)).over(by)).alias("selected"))
+    return decide.e_bh(shift_null(s, d).select("source", "target", F.round(1 / F.col("p"), 9).alias("e")), alpha=0.5, ties=["source", "target"])
 
 
 @query(
@@ -419,18 +408,6 @@ def _(s, d):
     return r.select("source", "target", F.round(-0.5 * F.log2(1 - partial**2), 9).alias("te"))
 
 
-@query("rank_metrics", "SELECT sum(y)::BIGINT AS p, count(*) AS n, round((sum(r * y) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))), 9) AS auroc FROM (SELECT (target > source)::INT AS y, rank() OVER (ORDER BY cmi) + (count(*) OVER (PARTITION BY cmi) - 1) / 2 AS r FROM (SELECT source, target, round(cmi, 12) AS cmi FROM cmi WHERE lag = 1))", ("cmi",))
-def _(s, d):
-    rows = info.conditional_mi(info.counts(ev_pairs(s, d), EDGE, ["y", "x", "w"]), EDGE).withColumn("cmi", F.round("cmi", 12))
-    return decide.roc_auc(rows, "cmi", F.col("target") > F.col("source")).withColumn("auroc", F.round("auroc", 9))
-
-
-@query("score_edges", "SELECT tp, fp, fn, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall FROM (SELECT count(*) FILTER (WHERE f AND g) AS tp, count(*) FILTER (WHERE f AND NOT g) AS fp, count(*) FILTER (WHERE g AND NOT f) AS fn FROM (SELECT round(cmi, 9) > 0.0005 AS f, source < target AS g FROM cmi WHERE lag = 1))", ("cmi",))
-def _(s, d):
-    edges = te_pairs(s, d)
-    return decide.score_edges(edges.where("te > 0.0005"), edges.where("source < target"))
-
-
 @query("union_edges", "SELECT source, target, sum((lag = 1)::INT) > 0 AS first, sum((lag = 2)::INT) > 0 AS second FROM cmi WHERE lag <= 2 AND round(cmi, 9) > 0.0005 GROUP BY ALL", ("cmi",))
 def _(s, d):
     grid = info.conditional_mi(info.counts(ev_pairs(s, d, (1, 2)), EDGE, ["y", "x", "w"]), EDGE).where(F.round("cmi", 9) > 0.0005)
@@ -440,7 +417,7 @@ def _(s, d):
 
 @query(
     "window_features",
-    f"SELECT \"window\", source, target, {_MI} AS mi FROM (SELECT *, sum(n) OVER (PARTITION BY \"window\", source, target, y) AS na, row_number() OVER (PARTITION BY \"window\", source, target, y) AS ra, sum(n) OVER (PARTITION BY \"window\", source, target, x) AS nb, row_number() OVER (PARTITION BY \"window\", source, target, x) AS rb FROM (SELECT floor(a.t / 100)::BIGINT AS \"window\", b.process AS source, a.process AS target, a.code AS y, b.code AS x, count(*) AS n FROM sym a JOIN sym b ON b.process <> a.process AND b.t = a.t - 1 AND floor(b.t / 100) = floor(a.t / 100) WHERE a.t < 700 GROUP BY ALL)) GROUP BY ALL",
+    f"SELECT \"window\", source, target, {_MI} AS mi FROM (SELECT *, sum(n) OVER (PARTITION BY \"window\", source, target, y) AS na, row_number() OVER (PARTITION BY \"window\", source, target, y) AS ra, sum(n) OVER (PARTITION BY \"window\", source, target, x) AS nb, row_number() OVER (PARTITION BY \"window\", source, target, x) AS rb FROM (SELECT floor(a.t / 100)::BIGINT AS \"window\", b.process AS source, a.process AS target, a.code AS y, b.code AS x, count(*) AS n FROM sym a JOIN sym b ON b.process <> a.process AND b.t = a.t - 1 AND floor(b.t / 100) = floor(a.t / 100) WHERE a.t < (SELECT floor((max(t) + 1) / 100) * 100 FROM sym) GROUP BY ALL)) GROUP BY ALL",
     ("sym",),
 )
 def _(s, d):
@@ -473,13 +450,9 @@ def _(s, d):
     "SELECT DISTINCT a AS source, b AS target FROM (WITH RECURSIVE c(a, b) AS (SELECT n_regionkey, n_nationkey FROM nation WHERE n_regionkey < n_nationkey UNION SELECT c.a, n.n_nationkey FROM c JOIN nation n ON n.n_regionkey = c.b AND n.n_regionkey < n.n_nationkey) SELECT a, b FROM c)",
 )
 def _(s, d):
-    """Transitive closure of an acyclic relation by repeated squaring."""
+    """Transitive closure of an acyclic relation by repeated squaring, until no arc is added."""
     arcs = table(s, d, "nation").where("n_regionkey < n_nationkey").select(F.col("n_regionkey").alias("source"), F.col("n_nationkey").alias("target")).distinct()
-    closed = arcs
-    for _ in range(5):  # paths of up to 32 arcs; the tree of 25 nations has no longer one
-        step = closed.alias("a").join(closed.alias("b"), F.col("a.target") == F.col("b.source")).select("a.source", "b.target")
-        closed = closed.unionByName(step).distinct()
-    return closed
+    return decide.closure(arcs)
 
 
 @query("stream_hourly_counts", "SELECT (epoch(date_trunc('hour', ts)) / 3600)::BIGINT AS hour, event_type, count(*) AS n FROM events GROUP BY ALL")

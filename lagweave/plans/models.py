@@ -63,10 +63,10 @@ def o_information_rate(s: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "rate_scaling",
+    "log_log_slope",
     "SELECT l_returnflag AS flag, count(*) AS n, round(regr_slope(ln(l_extendedprice), ln(l_quantity)), 8) AS slope FROM lineitem WHERE l_quantity > 0 AND l_extendedprice > 0 GROUP BY 1",
 )
-def rate_scaling(s: SparkSession, d: str) -> DataFrame:
+def log_log_slope(s: SparkSession, d: str) -> DataFrame:
     """The exponent by which one quantity scales with another: the slope of their logarithms."""
     rows = table(s, d, "lineitem").where("l_quantity > 0 and l_extendedprice > 0")
     return rows.groupBy(F.col("l_returnflag").alias("flag")).agg(F.count(F.lit(1)).alias("n"), F.round(F.regr_slope(F.log("l_extendedprice"), F.log("l_quantity")), 8).alias("slope"))

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Start of the hourly spine of the event log.
-EPOCH, HOURS = "2024-01-01 00:00:00", 720
 
-
-def hour_index(ts: Column, start: str = EPOCH) -> Column:
-    return F.floor((F.unix_timestamp(ts.cast("timestamp")) - F.unix_timestamp(F.lit(start).cast("timestamp"))) / 3600)
+def seconds(events: DataFrame) -> DataFrame:
+    """The events with `s`, their seconds since midnight of the first one's day."""
+    first = events.agg(F.date_trunc("day", F.min("ts").cast("timestamp")).alias("first"))
+    return events.crossJoin(F.broadcast(first)).withColumn("s", F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp("first")).drop("first")
 
 
 def spine(processes: DataFrame, n: int) -> DataFrame:
@@ -18,11 +17,13 @@ def spine(processes: DataFrame, n: int) -> DataFrame:
     return processes.select("process").distinct().withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("t", F.col("t").cast("long"))
 
 
-def binned(events: DataFrame, value: Column, n: int = HOURS, empty: float | None = 0.0) -> DataFrame:
-    """An aggregate of the events of each hour and type on the dense spine; `empty` where there is none."""
-    rows = events.select(F.col("event_type").alias("process"), hour_index(F.col("ts")).alias("t"), "value").where((F.col("t") >= 0) & (F.col("t") < n))
+def binned(events: DataFrame, value: Column, empty: float | None = 0.0) -> DataFrame:
+    """An aggregate of the events of each hour and type on the dense spine of all days from the first event to the last; `empty` where there is none."""
+    rows = seconds(events).select(F.col("event_type").alias("process"), F.floor(F.col("s") / 3600).alias("t"), "value")
     agg = rows.groupBy("process", "t").agg(value.alias("value"))
-    dense = spine(agg, n).join(agg, ["process", "t"], "left")
+    last = agg.agg((F.floor(F.max("t") / 24) * 24 + 23).alias("last"))
+    spine_ = agg.select("process").distinct().crossJoin(F.broadcast(last)).select("process", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("t"))
+    dense = spine_.join(agg, ["process", "t"], "left")
     return dense.select(F.lit(0).cast("long").alias("trial"), "t", "process", F.coalesce("value", F.lit(empty).cast("double")).alias("value") if empty is not None else F.col("value").cast("double"))
 
 

@@ -6,9 +6,9 @@ import duckdb
 import numpy as np
 import pytest
 
-from lagweave.operators import encode, kernels, network
-from lagweave.plans import catalogue
-from lagweave.sources import series
+from lagweave.operators import align, channels, decide, delays, encode, kernels, network, spikes
+from lagweave.plans import catalogue, models, planted, steps  # noqa: F401  (they add to the catalogue)
+from lagweave.sources import dynamics, motifs, series
 from lagweave.streaming import hourly
 
 SF = "/root/testdata/sf0.001"
@@ -153,8 +153,8 @@ def test_spike_bins_reach_the_last_spike(spark):
     assert series.spike_bins(spikes.where("false"), 5.0).count() == 0
 
 
-def test_spike_bin_whole_counts_every_event(spark):
-    rows = catalogue.QUERIES["spike_bin_whole"](spark, SF).collect()
+def test_spike_bin_dense_counts_every_event(spark):
+    rows = catalogue.QUERIES["spike_bin_dense"](spark, SF).collect()
     assert sum(r.n for r in rows) == spark.read.parquet(f"{SF}/events.parquet").count()
 
 
@@ -172,3 +172,105 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     a, b = (sorted(map(tuple, f.collect())) for f in (spark.table("hourly_counts"), hourly.windowed_counts(events)))
     assert a == b and len(a) > 0
+
+
+def test_growing_edges():
+    assert spikes.growing_edges(8, 4) == [0, 2, 4, 6, 8] and spikes.growing_edges(4, 4, 2.0) == [0, 1, 2, 3, 4]
+    for window, depth, growth in ((8, 3, 0.35), (20, 5, 0.5), (7, 6, 1.0)):
+        edges = spikes.growing_edges(window, depth, growth)
+        assert edges[0] == 0 and edges[-1] == window and all(a < b for a, b in zip(edges, edges[1:], strict=False))
+    with pytest.raises(ValueError):
+        spikes.growing_edges(2, 3)
+
+
+def test_candidate_lags(spark):
+    assert delays.lags(10, 3) == [1, 4, 7, 10] and delays.lags(100, 2, 1, True)[0] == 1 and delays.lags(100, 2, 1, True)[-1] == 100
+    rows = spark.createDataFrame([("a", 7, 1, 3, 1), ("b", 2, 3, 1, 1), ("c", 4, 2, 1, 2)], "process string, max_lag int, min_lag int, tau int, lag_step int")
+    got = sorted((r.process, r.lag) for r in delays.candidate_lags(rows).collect())
+    assert got == [("a", 1), ("a", 4), ("a", 7), ("c", 2), ("c", 4)]
+
+
+def test_spike_encoders_against_loops(spark):
+    rng = np.random.default_rng(12)
+    x = (rng.random(400) < 0.2).astype(float)
+    df = spark.createDataFrame([(0, t, "n", float(v)) for t, v in enumerate(x)], "trial long, t long, process string, value double")
+    at = np.flatnonzero(x)
+    edges = [0, 1, 3, 8]
+    got = {r.t: r.code for r in spikes.exponential_bins(df, edges).collect()}
+    assert got == {t: sum(int(x[t - edges[j + 1] + 1 : t - edges[j] + 1].any()) << j for j in range(3)) for t in range(7, 400)}
+    gaps, since = np.diff(at), [t - at[at <= t][-1] for t in range(at[0], 400)]
+    a, b = (np.quantile(v, [1 / 3, 2 / 3], method="inverted_cdf") for v in ([v for v in since if v < 20], gaps))
+    got = {r.t: r.code for r in spikes.spike_intervals(df, 2, 3, 20).collect()}
+    for t in range(19, 400):
+        seen = at[at <= t]
+        whole = len(seen) > 1 and t - seen[-2] < 20
+        assert got[t] == (3 * np.searchsorted(a, t - seen[-1], "right") + np.searchsorted(b, seen[-1] - seen[-2], "right") if whole else 9)
+
+
+def test_motifs_are_what_they_say(spark):
+    wide = lambda name: {p: np.array(v) for p, v in _columns(motifs.MOTIFS[name].table(spark, 3000)).items()}
+    m = wide("xor_synergy")
+    assert (m["y"][1:] == m["a"][:-1] ^ m["b"][:-1]).all() and 0.45 < m["a"].mean() < 0.55
+    m = wide("switching_coupling")
+    for k in range(6):
+        s, d = ("x", "y") if k % 2 == 0 else ("y", "x")
+        agree = (m[d][500 * k + 1 : 500 * k + 500] == m[s][500 * k : 500 * k + 499]).mean()
+        assert 0.85 < agree < 0.95
+    assert abs((wide("chain")["c"][3:] == wide("chain")["a"][:-3]).mean() - 0.905) < 0.03
+
+
+def _columns(df):
+    out = {}
+    for r in df.orderBy("t").collect():
+        out.setdefault(r.process, []).append(r.code)
+    return out
+
+
+def test_dynamics():
+    rng = np.random.default_rng(13)
+    x = dynamics.var_process(4000, np.array([[[0.5, 0.0], [0.6, 0.3]]]), 1.0, rng)
+    past, now = x[:-1], x[1:]
+    assert np.allclose(np.linalg.lstsq(past, now, rcond=None)[0].T, [[0.5, 0.0], [0.6, 0.3]], atol=0.08)
+    cells = dynamics.automaton(50, 7, rng, 90, 0.0)
+    assert (cells[1:] == np.roll(cells[:-1], 1, axis=1) ^ np.roll(cells[:-1], -1, axis=1)).all()
+    for step in (dynamics.logistic, dynamics.tent):
+        y = dynamics.coupled_maps(500, np.array([[0, 0.0], [0.3, 0]]), step, rng)
+        assert 0 <= y.min() and y.max() <= 1 and y.std() > 0.1
+        assert np.allclose(y[1:, 0], step(y[:-1, 0])) and np.allclose(y[1:, 1], 0.7 * step(y[:-1, 1]) + 0.3 * step(y[:-1, 0]))
+    z = dynamics.lorenz96(300, 6, rng)
+    assert np.isfinite(z).all() and 1 < z.std() < 10
+    fired = dynamics.spiking(6000, np.array([[0.0, 0.0], [3.0, 0.0]]), rng)
+    after = fired[1:, 1][fired[:-1, 0] == 1].mean()
+    assert after > 3 * fired[:, 1].mean() and not (fired[1:] & fired[:-1]).any()
+
+
+def test_simulated_repetitions_differ(spark):
+    rows = dynamics.simulate(spark, lambda rng: rng.normal(size=(20, 2)), 3, 5)
+    again = dynamics.simulate(spark, lambda rng: rng.normal(size=(20, 2)), 3, 5)
+    values = sorted((r.trial, r.t, r.process, r.value) for r in rows.collect())
+    assert len(values) == 120 and len({v[3] for v in values}) == 120 and values == sorted((r.trial, r.t, r.process, r.value) for r in again.collect())
+
+
+def test_closure_of_a_long_path(spark):
+    arcs = spark.createDataFrame([(k, k + 1) for k in range(70)], "source long, target long")
+    assert decide.closure(arcs).count() == 71 * 70 // 2
+
+
+def test_average_precision_counts_ties_against(spark):
+    rows = spark.createDataFrame([(3.0, True), (2.0, False), (2.0, True), (1.0, False)], "s double, t boolean")
+    r = decide.average_precision(rows, "s", rows["t"]).first()
+    assert r.p == 2 and math.isclose(r.ap, (1 + 2 / 3) / 2)
+
+
+def test_merging_contexts_keeps_information(spark):
+    rows = [("e", y, x, w, n) for w, law in enumerate([(4, 2, 1, 1), (1, 5, 1, 1), (8, 4, 2, 2)]) for (y, x), n in zip(((0, 0), (0, 1), (1, 0), (1, 1)), law, strict=True)]
+    table = spark.createDataFrame(rows, "k string, y int, x int, w int, n long")
+    mapping = channels.laws(table, ["k"])
+    assert {r.w: r.cluster for r in mapping.collect()} == {0: 0, 1: 1, 2: 0}
+    assert {(r.y, r.x, r.w): r.n for r in channels.merged(table, mapping, ["k"]).collect()}[0, 0, 0] == 12
+
+
+def test_longer_windows(spark):
+    rows = [(0, t, p, t * (1 if p == "a" else 100)) for t in range(6) for p in "ab"]
+    got = {(r.source, r.t): (r.y, r.w, r.x) for r in align.windowed_pairs(spark.createDataFrame(rows, "trial long, t long, process string, code int"), 2, 2, 2).collect()}
+    assert got["b", 5] == (5, [4, 3], [300, 200]) and ("b", 2) not in got and ("b", 3) in got
