@@ -31,6 +31,7 @@ import bisect
 import hashlib
 import re
 from collections.abc import Callable
+from types import SimpleNamespace
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -66,11 +67,22 @@ PATTERNS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\w+(])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]\d{4}(?!\d)",
     "ip": rf"(?<![\d.]){_octet}(?:\.{_octet}){{3}}(?!\d|\.\d)",
-    "cued": rf"(?i:{'|'.join(f'(?<={c})' for c in CUES)}){_word}(?:[ -]{_word})*",
+    "cued": rf"(?=[{_upper}])(?i:{'|'.join(f'(?<={c})' for c in CUES)}){_word}(?:[ -]{_word})*",
     "name": rf"(?<!\w)(?:(?:{_titles})\.? {_word}(?:[ -]{_word})*|{_word}(?: {_word}(?:-{_word})*)+)",
 }
 _find = re.compile("|".join(f"(?P<{k}>{v.replace(chr(92) + '1', '(?P=sep)').replace('([ -]?)', '(?P<sep>[ -]?)')})" for k, v in PATTERNS.items()))
-_hint = re.compile(rf"[@\d]|{_word} {_word}|(?<!\w)(?:{_titles})\.? [{_upper}]|(?i:password|passwd|pwd|{'|'.join(CUES)})|AKIA")
+_capitals = re.compile(rf"{_word} {_word}|(?<!\w)(?:{_titles})\.? [{_upper}]")
+_marked = re.compile(r"[@\d]")
+_marks = [x.casefold() for x in ("password", "passwd", "pwd", "AKIA", *CUES)]
+
+
+def _possible(text: str) -> bool:
+    """Whether a text may hold an entity: a quick test that lets every pattern through, by plain search where that will do."""
+    low = text.casefold()
+    return bool(_marked.search(text) or any(x in low for x in _marks) or _capitals.search(text))
+
+
+_hint = SimpleNamespace(search=_possible)
 _first = {name: k for k, names in FIRST.items() for name in names}
 _gender = {t: g for g, titles in TITLES.items() for t in titles}
 
