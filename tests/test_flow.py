@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from lagweave.operators import align, channels, decide, delays, encode, kernels, network, spikes
-from lagweave.plans import catalogue, models, planted, steps  # noqa: F401  (they add to the catalogue)
+from lagweave.plans import catalogue, further, models, planted, steps  # noqa: F401  (they add to the catalogue)
 from lagweave.sources import dynamics, motifs, series
 from lagweave.streaming import hourly
 
