@@ -13,7 +13,8 @@ word, with weight c / (N + theta), and the segmentations into subwords share
 theta / (N + theta). Theta is the value, of a grid, at which all training words
 are likeliest when each occurrence is left out of its own count. A document's
 probability is the product over its words and one end. Both recursions run
-once for each distinct word, not for each occurrence.
+once for each distinct word, not for each occurrence, and once for a prefix
+that words of one batch share.
 
 The same counts give the base score, an add-0.1 unigram over words.
 
@@ -46,7 +47,7 @@ LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 class Lattice:
-    """Log weights of pieces and bytes in a trie; forward and forward-backward over a word."""
+    """Log weights of pieces and bytes in a trie; forward recursion and expected uses, over words that share prefixes."""
 
     def __init__(self, pieces: list[tuple[str, float, str]], counts: dict[int, float] | None = None):
         prior = costs(pieces)
@@ -64,102 +65,95 @@ class Lattice:
         else:
             n = sum(counts.values()) + PRIOR_WEIGHT
             self.weight = {i: math.log((counts.get(i, 0.0) + PRIOR_WEIGHT * math.exp(w - norm)) / n) for i, w in self.prior.items()}
-        self.fallback: dict[str, tuple[float, bytes]] = {}
-        self.root: dict = {}
+        self.fallback: dict[str, tuple[float, tuple[int, ...]]] = {}
+        self.back: dict = {}  # a trie of pieces read from their ends
         for i, (p, _, k) in enumerate(pieces):
             if k == "normal" and i in prior:
-                node = self.root
-                for ch in p:
+                node = self.back
+                for ch in reversed(p):
                     node = node.setdefault(ch, {})
-                node[""] = (self.weight[i], i, math.exp(self.weight[i]))
-
-    def _arcs(self, s: str) -> list[list[tuple[int, float, object]]]:
-        """From each place of a word: (end, log weight, piece id or bytes) of every arc that fits."""
-        out = []
-        for i, ch in enumerate(s):
-            here, node, j = [], self.root, i
-            while j < len(s) and (node := node.get(s[j])) is not None:
-                j += 1
+                node[""] = (self.weight[i], i)
+
+    def _spell(self, ch: str) -> tuple[float, tuple[int, ...]]:
+        """Log weight and byte pieces of one character."""
+        ids = tuple(self.byte_id[b] for b in ch.encode("utf-8", "replace"))
+        known = self.fallback[ch] = (sum(self.weight[i] for i in ids), ids)
+        return known
+
+    def _extend(self, s: str, alpha: list[float], arcs: list | None = None) -> None:
+        """Forward recursion in log space from the place that `alpha` has come to, up to the end of s: alpha[j] is the logarithm of the sum over all segmentations of s[:j]. With `arcs`, also the share of each last piece among those segmentations: (start, share, ids)."""
+        back, fallback, exp, log1p = self.back, self.fallback, math.exp, math.log1p
+        for j in range(len(alpha) - 1, len(s)):
+            w, ids = fallback.get(s[j]) or self._spell(s[j])
+            a = alpha[j] + w
+            here = [(j, a, ids)]
+            node, i = back, j
+            while i >= 0 and (node := node.get(s[i])) is not None:
                 if (arc := node.get("")) is not None:
-                    here.append((j, arc[0], arc[1]))
-            if (known := self.fallback.get(ch)) is None:
-                raw = ch.encode("utf-8", "replace")
-                known = self.fallback[ch] = (sum(self.weight[self.byte_id[b]] for b in raw), raw)
-            here.append((i + 1, *known))
-            out.append(here)
-        return out
-
-    def _forward(self, arcs: list) -> list[float]:
-        into: list[list[float]] = [[0.0]] + [[] for _ in arcs]
-        alpha = []
-        for i, here in enumerate([*arcs, []]):
-            v = into[i]
-            top = max(v)
-            a = top if len(v) == 1 else top + math.log(sum(math.exp(x - top) for x in v))
+                    x = alpha[i] + arc[0]
+                    here.append((i, x, (arc[1],)))
+                    if x > a:
+                        a = x + log1p(exp(a - x))
+                    elif x > a - 40:  # less does not change a double
+                        a += log1p(exp(x - a))
+                i -= 1
             alpha.append(a)
-            into[i] = []
-            for j, w, _ in here:
-                into[j].append(a + w)
-        return alpha
+            if arcs is not None:
+                arcs.append([(i, exp(x - a), ids) for i, x, ids in here])
+
+    def log_probs(self, words: list[str]) -> list[float]:
+        """Natural logarithms of the sums over all segmentations of words; the empty word is the end. Words are taken in their order, each going on from the prefix that it shares with the last."""
+        out, last, alpha = [0.0] * len(words), META, [0.0]
+        for k in sorted(range(len(words)), key=words.__getitem__):
+            if words[k] == END:
+                out[k] = self.weight[self.end]
+                continue
+            s = META + words[k]
+            del alpha[_common(last, s) + 1 :]
+            self._extend(s, alpha)
+            out[k], last = alpha[-1], s
+        return out
 
     def log_prob(self, word: str) -> float:
-        """Natural logarithm of the sum over all segmentations of a word; the empty word is the end."""
-        if word == END:
-            return self.weight[self.end]
-        return self._forward(self._arcs(META + word))[-1]
+        return self.log_probs([word])[0]
 
     def expect(self, word: str, times: float, counts: list[float]) -> None:
         """Add the expected uses of each piece in `times` occurrences of a word."""
-        if word == END:
-            counts[self.end] += times
-            return
-        if len(word) < 24:  # far from underflow: plain products
-            return self._expect_plain(META + word, times, counts)
-        arcs = self._arcs(META + word)
-        alpha = self._forward(arcs)
-        beta = [0.0] * len(alpha)
-        for i in range(len(arcs) - 1, -1, -1):
-            v = [w + beta[j] for j, w, _ in arcs[i]]
-            top = max(v)
-            beta[i] = top + math.log(sum(math.exp(x - top) for x in v))
-            for j, w, piece in arcs[i]:
-                use = times * math.exp(alpha[i] + w + beta[j] - alpha[-1])
-                if isinstance(piece, int):
-                    counts[piece] += use
-                else:
-                    for b in piece:
-                        counts[self.byte_id[b]] += use
-
-
-    def _expect_plain(self, s: str, times: float, counts: list[float]) -> None:
-        n, root, fallback = len(s), self.root, self.fallback
-        alpha, beta = [1.0] + [0.0] * n, [0.0] * n + [1.0]
-        arcs = []
-        for i, ch in enumerate(s):
-            here, node, j, a = [], root, i, alpha[i]
-            while j < n and (node := node.get(s[j])) is not None:
-                j += 1
-                if (arc := node.get("")) is not None:
-                    alpha[j] += a * arc[2]
-                    here.append((j, arc[2], arc[1]))
-            if (known := fallback.get(ch)) is None:
-                raw = ch.encode("utf-8", "replace")
-                known = fallback[ch] = (sum(self.weight[self.byte_id[b]] for b in raw), raw)
-            p = math.exp(known[0])
-            alpha[i + 1] += a * p
-            arcs.append((here, p, known[1]))
-        scale = times / alpha[n]
-        for i in range(n - 1, -1, -1):
-            here, p, raw = arcs[i]
-            a, q = alpha[i] * scale, p * beta[i + 1]
-            total = q
-            for b in raw:
-                counts[self.byte_id[b]] += a * q
-            for j, p, piece in here:
-                q = p * beta[j]
-                total += q
-                counts[piece] += a * q
-            beta[i] = total
+        self.expect_all([word], counts, times)
+
+    def expect_all(self, words: list[str], counts: list[float], times: float = 1.0) -> None:
+        """Add the expected uses of each piece in the words, `times` for each. What arrives at a place, from all words with that prefix, is handed back to where its last pieces start, by their shares, once the words have left the prefix."""
+        last, alpha, arcs, mass = "", [0.0], [[]], [0.0]
+
+        def leave(k: int) -> None:
+            while len(alpha) > k + 1:
+                alpha.pop()
+                here, m = arcs.pop(), mass.pop()
+                for i, share, ids in here:
+                    use = m * share
+                    mass[i] += use
+                    for piece in ids:
+                        counts[piece] += use
+
+        for word in sorted(words):
+            if word == END:
+                counts[self.end] += times
+                continue
+            s = META + word
+            leave(_common(last, s))
+            self._extend(s, alpha, arcs)
+            mass += [0.0] * (len(alpha) - len(mass))
+            mass[-1] += times
+            last = s
+        leave(0)
+
+
+def _common(a: str, b: str) -> int:
+    """The length of the longest common prefix."""
+    k, n = 0, min(len(a), len(b))
+    while k < n and a[k] == b[k]:
+        k += 1
+    return k
 
 
 def tokens(text: Column) -> Column:
@@ -196,16 +190,14 @@ def score(docs: DataFrame, train: Column, pieces: list[tuple[str, float, str]])
     lattice, top = Lattice(pieces), [r.word for r in counted.where(F.col("c") > sums["N"] / HEAVY).select("word").orderBy("word").collect()]  # fewer than HEAVY rows, by training text alone
     for _ in range(ROUNDS):
         gathered = [0.0] * size
-        for w in top:
-            lattice.expect(w, 1.0, gathered)
+        lattice.expect_all(top, gathered)
         lattice = Lattice(pieces, {i: x for i, x in enumerate(gathered) if x > 0})
     first = spark.sparkContext.broadcast(lattice)
 
     def expected(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = [0.0] * size
         for f in frames:
-            for w in f["word"]:
-                first.value.expect(w, 1.0, counts)
+            first.value.expect_all(list(f["word"]), counts)
         at = np.flatnonzero(counts)
         yield pd.DataFrame({"piece": at.astype("int32"), "uses": np.array(counts)[at]})
 
@@ -214,7 +206,7 @@ def score(docs: DataFrame, train: Column, pieces: list[tuple[str, float, str]])
 
     @F.pandas_udf("double")
     def marginal(words: pd.Series) -> pd.Series:
-        return words.map(model.value.log_prob).astype("float64") / math.log(10)
+        return pd.Series(model.value.log_probs(list(words)), dtype="float64") / math.log(10)
 
     known = counted.select("word", "c", F.log10((F.col("c") + ADD) / (sums.N + ADD * (sums.V + 1))).alias("base"), marginal("word").alias("spelled"), "n")
     known = cut(known)

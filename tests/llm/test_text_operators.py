@@ -110,6 +110,42 @@ def test_lattice_sums_all_segmentations():
         assert np.allclose(np.array(plain), 2 * np.array(slow))
 
 
+def test_expected_uses_of_words_that_share_prefixes():
+    """Against the posterior over all listed segmentations, and word by word; long words too."""
+    pieces = [("▁", -1.0, "normal"), ("a", -2.5, "normal"), ("b", -3.25, "normal"), ("▁a", -1.5, "normal"), ("ab", -2.0, "normal"), ("ba", -2.2, "normal")] + [(f"<0x{b:02X}>", 0.0, "byte") for b in range(256)]
+    m = lm.Lattice(pieces)
+    normal = {p: i for i, (p, _, k) in enumerate(pieces) if k == "normal"}
+
+    def every(s):
+        if not s:
+            return [(0.0, [])]
+        raw = [m.byte_id[b] for b in s[0].encode()]
+        out = [(sum(m.weight[i] for i in raw) + r, raw + u) for r, u in every(s[1:])]
+        return out + [(m.weight[i] + r, [i] + u) for p, i in normal.items() if s.startswith(p) for r, u in every(s[len(p) :])]
+
+    words = ["abab", "a", "", "ab", "ab", "abba", "é", "ba"]
+    want = np.zeros(len(pieces) + 1)
+    for w in words:
+        if not w:
+            want[m.end] += 1
+            continue
+        ways = every("▁" + w)
+        total = sum(math.exp(r) for r, _ in ways)
+        for r, used in ways:
+            for i in used:
+                want[i] += math.exp(r) / total
+    got = [0.0] * (len(pieces) + 1)
+    m.expect_all(words, got)
+    assert np.allclose(got, want, rtol=1e-9)
+    long = ["ab" * 5000, "ab" * 5000 + "b", "ba" * 3, "a" * 30]
+    both, single = [0.0] * len(got), [0.0] * len(got)
+    m.expect_all(long, both)
+    for w in long:
+        m.expect(w, 1.0, single)
+    assert np.allclose(both, single) and np.isfinite(both).all()
+    assert m.log_probs(words + long) == pytest.approx([m.log_prob(w) for w in words + long], rel=1e-12)
+
+
 def test_lm_base_score_and_totals(spark):
     rows = registry.op2_lattice_lm(spark, SF).collect()
     docs = {r.doc_id: r.text for r in documents(spark).collect()}
