@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lagweave.functions.special import xlog2x
 from lagweave.operators import align, decide, encode, info, kernels, network
 from lagweave.sources import series
-from lagweave.sources.tables import table
+from lagweave.sources.tables import placed, table
 from lagweave.streaming import hourly
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,9 +76,17 @@ def ev_value(spark: SparkSession, d: str) -> DataFrame:
     return series.binned(table(spark, d, "events"), F.avg("value"), empty=None)
 
 
-def li_day(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").select(F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("long").alias("t"), "l_quantity", "l_extendedprice", "l_discount")
+def li_day(spark: SparkSession, d: str, in_order: bool = False) -> DataFrame:
+    """Daily sums. `in_order` adds the rows of a day one by one as the files have them, not in parts: days with the same sum in cents differ in their last bits by the order of adding, and an edge between them tells them apart. It costs a shuffle and a sort of all rows."""
+    rows = table(spark, d, "lineitem")
+    if in_order:
+        rows = placed(rows)
+    rows = rows.select(F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("long").alias("t"), "l_quantity", "l_extendedprice", "l_discount", *["place"] * in_order)
+    if in_order:
+        rows = rows.repartition("t").sortWithinPartitions("place")
     sums = rows.groupBy("t").agg(F.sum("l_quantity").alias("quantity"), F.sum("l_extendedprice").alias("price"), F.sum("l_discount").alias("discount"))
+    if in_order:
+        sums = sums.repartition("t")  # an exchange that all readers of the sums share
     return sums.unpivot(["t"], ["quantity", "price", "discount"], "process", "value").select(F.lit(0).cast("long").alias("trial"), "t", "process", "value")
 
 
@@ -147,7 +155,7 @@ def _(s, d):
 
 @query("encode_equal_frequency", "SELECT trial, t, process, len(list_filter(e, lambda q: q <= value))::INT AS code FROM day JOIN (SELECT process, quantile_cont(value, [0.25, 0.5, 0.75]) AS e FROM day GROUP BY 1) USING (process)", ("day",))
 def _(s, d):
-    return encode.equal_frequency(li_day(s, d), 4)
+    return encode.equal_frequency(li_day(s, d, in_order=True), 4)
 
 
 @query("encode_equal_width", "SELECT trial, t, process, ((a + (b - a) * 0.25 <= value)::INT + (a + (b - a) * 0.5 <= value)::INT + (a + (b - a) * 0.75 <= value)::INT) AS code FROM day JOIN (SELECT process, min(value) AS a, max(value) AS b FROM day GROUP BY 1) USING (process)", ("day",))

@@ -4,6 +4,7 @@ import math
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from lagweave.operators import align, channels, decide, delays, encode, kernels, network, spikes
@@ -38,6 +39,25 @@ def test_matches_sql(spark, con, name):
     assert a == b
 
 
+def test_equal_frequency_adds_rows_in_their_order(spark, tmp_path):
+    """Days with the same sum in cents, whose last bits differ by the order of adding, over files of two sizes: the SQL on one thread reads these in the order of their names."""
+    folder, c = tmp_path / "lineitem.parquet", duckdb.connect(config={"threads": 1})
+    folder.mkdir()
+    rng = np.random.default_rng(12)
+    cents, mix = rng.integers(0, 11, 300) / 100, rng.permutation(12000)
+    amounts, days = np.concatenate([rng.permutation(cents) for _ in range(40)])[mix], np.repeat(np.arange(40), 300)[mix]
+    rows = pd.DataFrame({"l_quantity": 1.0, "l_extendedprice": amounts * 10000, "l_discount": amounts, "l_shipdate": pd.Timestamp("1995-01-01") + pd.to_timedelta(days, "D")})
+    for name, part in (("a", rows[:3000]), ("b", rows[3000:])):
+        c.sql(f"copy (select * replace (l_shipdate::timestamp as l_shipdate) from part) to '{folder}/{name}.parquet' (format parquet)")
+    c.sql(f"create view lineitem as select * from '{folder}/*.parquet'")
+    want = c.sql(catalogue.ORACLES["encode_equal_frequency"])
+    got = catalogue.QUERIES["encode_equal_frequency"](spark, str(tmp_path))
+    found = {tuple(r[k] for k in want.columns) for r in got.collect()}
+    want = set(want.fetchall())
+    assert len({code for _, _, process, code in want if process == "discount"}) > 1
+    assert len(want) == 120 and found == want
+
+
 def xor(n=3000, seed=1):
     rng = np.random.default_rng(seed)
     a, b = rng.integers(0, 2, (2, n))
