@@ -1,11 +1,11 @@
-"""Benchmark decontamination by q-gram counts along diagonals and exact edit distance.
+"""Benchmark decontamination by disjoint pieces along diagonals and exact edit distance.
 
 The items are a stated query set, taken in blocks; documents stream past each
-block. Of the n - q + 1 q-grams of an item an edit spoils at most q, and e edits
-leave the others on e + 1 neighbouring diagonals (place in the document less
-place in the item). So a document that holds an item with at most e edits has
-n - q + 1 - q * e of its q-grams or more on those diagonals; where a band of
-bins of diagonals has as many, the text around it is verified by Myers'
+block. An item allows e edits and is cut into e + t pieces, which do not overlap
+and are rare among the items. An edit spoils one piece at most, so wherever a
+document holds the item with at most e edits, t pieces or more stand as they
+are, on e + 1 neighbouring diagonals (place in the document less place in the
+item). Where so many do, the text around them is verified by Myers'
 bit-parallel edit distance between the item and any part of it (in Hyyro's
 blocks of 64 bits). No item within the edits is missed: neither step samples.
 
@@ -20,7 +20,7 @@ without an id is an item, reported with a null id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -29,12 +29,16 @@ from pyspark.sql import functions as F
 
 #: Edits allowed, as a share of an item's length.
 RATE = 0.2
-#: Longest q-gram, and diagonals of a bin as a power of two. Buckets of q-grams, as a power of two: one that several share only adds to counts.
-GRAM, BIN, BUCKETS = 4, 3, 20
+#: Longest piece, its buckets as a power of two (one that several share only adds to counts), and pieces of an item beyond one more than its edits, as a share of its length.
+LONGEST, BUCKETS, SPARE = 6, 20, 0.03
+#: Letters of an item that are cut into pieces together.
+SEGMENT = 256
 #: Code points and number of the items of one block at most: what an executor holds of the query set.
 BLOCK_CHARS, BLOCK_ITEMS = 250_000, 4000
-#: Code points of documents that are searched together, and counted together; stretches of text verified together, and new places of one.
-BATCH, CHUNK, LANES, STRETCH = 10_000_000, 16_384, 8192, 256
+#: Code points of documents that are searched together, and looked up together; places of pieces that are sorted together, if more than one text's worth.
+BATCH, CHUNK, PLACES = 10_000_000, 65_536, 1_000_000
+#: Stretches of text verified together, from how many for each word of an item on, and new places of one.
+LANES, FEW, STRETCH = 8192, 32, 256
 SPACES = "\t\n\x0b\x0c\r"
 
 
@@ -45,10 +49,10 @@ def plain(text: str) -> str:
     return text
 
 
-def edit_distance(item: str, region: str, anchored: bool = False) -> tuple[int, int]:
+def edit_distance(item: Sequence, region: Sequence, anchored: bool = False) -> tuple[int, int]:
     """The least edit distance between `item` and any part of `region` (`anchored`: that begins where it does), and where the first such part ends (Myers 1999)."""
     n = len(item)
-    masks: dict[str, int] = {}
+    masks: dict = {}
     for i, ch in enumerate(item):
         masks[ch] = masks.get(ch, 0) | 1 << i
     full, top = (1 << n) - 1, 1 << (n - 1)
@@ -113,89 +117,125 @@ def search(x: np.ndarray, masks: np.ndarray, base: np.ndarray, size: np.ndarray,
     return best, where
 
 
-class Grams:
-    """The q-grams of some items by bucket, and the counts that tell where an item may be."""
-
-    def __init__(self, q: int, which: np.ndarray, codes: list[np.ndarray], edits: np.ndarray):
-        by_band = np.argsort(-(-edits // (1 << BIN)), kind="stable")
-        which, edits = which[by_band], edits[by_band]
-        self.q, self.which, self.edits = q, which, edits
+def buckets(x: np.ndarray, lengths: Iterable[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, bucket of the letters from each place on) for lengths in rising order."""
+    h, have = np.zeros(len(x), np.uint32), 0
+    for q in lengths:
+        for k in range(have, min(q, len(x))):
+            h = h[: len(x) - k]
+            h = h * np.uint32(0x9E3779B1) + x[k:].astype(np.uint32) + np.uint32(1)
+        have = q
+        yield q, ((h[: max(0, len(x) - q + 1)] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BUCKETS)).astype(np.intp)
+
+
+def pieces(codes: list[np.ndarray], number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item, place, length) of `number` disjoint pieces of each item, such that the least is to be found elsewhere, as far as other pieces of these items tell."""
+    sizes = np.array([len(c) for c in codes])
+    parts = -(-sizes // SEGMENT)
+    item, n = _each(parts, np.arange(len(codes)))
+    begin, end = sizes[item] * n // parts[item], sizes[item] * (n + 1) // parts[item]
+    want = number[item] * end // sizes[item] - number[item] * begin // sizes[item]  # no more than letters
+    size, at = end - begin, begin + (np.cumsum(sizes) - sizes)[item]
+    flat = np.concatenate(codes)
+    often = np.full((LONGEST + 1, len(flat)), np.inf, np.float32)
+    for q, b in buckets(flat, range(1, LONGEST + 1)):
+        often[q, : len(b)] = np.bincount(b)[b] + 4.0 ** (2 - q)
+    found = []
+    for k in range(0, len(item), SEGMENT):
+        some = np.arange(k, min(k + SEGMENT, len(item)))
+        segment, place, length = _cheapest(often, at[some], size[some], want[some])
+        found.append((item[some[segment]], begin[some[segment]] + place, length))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _cheapest(often: np.ndarray, at: np.ndarray, size: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, place, length) of the `want` disjoint pieces of each segment whose `often` sum to the least."""
+    rows, width = np.arange(len(at)), int(size.max()) + 1
+    ends = np.arange(width)
+    costs = np.full((LONGEST + 1, len(at), width), np.inf, np.float32)  # of the piece of a length that ends somewhere
+    for q in range(1, LONGEST + 1):
+        start = ends - q
+        ok = (start >= 0) & (ends <= size[:, None])
+        costs[q] = np.where(ok, often[q].take(at[:, None] + start, mode="clip"), np.inf)
+    before, steps = np.zeros((len(at), width), np.float32), []
+    for _ in range(int(want.max())):
+        best, length = np.full((len(at), width), np.inf, np.float32), np.zeros((len(at), width), np.int8)
+        for q in range(1, min(LONGEST, width - 1) + 1):
+            c = before[:, :-q] + costs[q, :, q:]
+            better = c < best[:, q:]
+            np.copyto(best[:, q:], c, where=better)
+            np.copyto(length[:, q:], q, where=better)
+        before = np.minimum.accumulate(best, axis=1)
+        steps.append((np.maximum.accumulate(np.where(best == before, ends, 0).astype(np.int16), axis=1), length))
+    out, end = [], size.copy()
+    for k in range(len(steps), 0, -1):
+        seg = rows[want >= k]
+        last, length = steps[k - 1]
+        stop = last[seg, end[seg]].astype(np.int64)
+        q = length[seg, stop].astype(np.int64)
+        end[seg] = stop - q
+        out.append((seg, stop - q, q))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+class Pieces:
+    """The pieces of some items by bucket, and how many tell where an item may be."""
+
+    def __init__(self, which: np.ndarray, codes: list[np.ndarray], edits: np.ndarray):
+        self.which, self.edits = which, edits
         self.sizes = np.array([len(codes[k]) for k in which])
-        self.least = self.sizes - q + 1 - q * edits
-        self.band = -(-edits // (1 << BIN)) + 1  # bins that cover edits + 1 diagonals wherever they begin
-        turns = np.flatnonzero(np.diff(self.band, prepend=-1))
-        self.bands = [(int(a), int(b), int(self.band[a])) for a, b in zip(turns, [*turns[1:], len(edits)], strict=True)]
+        self.least = np.minimum(1 + (SPARE * self.sizes).astype(int), self.sizes - edits)
+        row, place, length = pieces([codes[k] for k in which], edits + self.least)
         self.reach = int((self.sizes + edits).max())
-        self.off = (-(-int(self.sizes.max()) >> BIN) + 1) << BIN
-        self.bins = ((CHUNK + self.reach + self.off) >> BIN) + 2
-        bucket = [self.buckets(codes[k]) for k in which]
-        flat = np.concatenate(bucket)
-        place = np.concatenate([r * (self.bins << BIN) + self.off - np.arange(len(x)) for r, x in enumerate(bucket)])
-        order = np.argsort(flat, kind="stable")
-        self.place = place[order].astype(np.int32)  # below 2^31: a block has few items, and few rows of bins
-        self.count = np.bincount(flat, minlength=(1 << BUCKETS) + 1)
+        self.off = int(self.sizes.max())
+        self.bits = int(CHUNK + 2 * self.reach + self.off).bit_length()  # a row of diagonals, and edits between two rows
+        self.lengths = np.unique(length).tolist()
+        bucket = np.empty(len(row), np.intp)
+        flat, first = np.concatenate([codes[k] for k in which]), np.cumsum(self.sizes) - self.sizes
+        for q, b in buckets(flat, self.lengths):
+            mine = length == q
+            bucket[mine] = b[(first[row] + place)[mine]]
+        order = np.argsort(bucket, kind="stable")
+        self.place = ((row << self.bits) + self.off - place)[order]
+        self.count = np.bincount(bucket, minlength=1 << BUCKETS).astype(np.int32)
         self.first = np.cumsum(self.count) - self.count
-        self.count[-1] = 0
-
-    def buckets(self, x: np.ndarray) -> np.ndarray:
-        """The bucket of the q-gram at each place; the last one, which is empty, for those with characters of no item."""
-        m = max(0, len(x) - self.q + 1)
-        h, known = np.zeros(m, np.uint64), np.ones(m, bool)
-        for k in range(self.q):
-            y = x[k : k + m]
-            h = h * np.uint64(0x9E3779B97F4A7C15) + y.astype(np.uint64)
-            known &= y > 0
-        h = (h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BUCKETS)
-        return np.where(known, h.astype(np.int64), 1 << BUCKETS)
+        self.some = self.count > 0
 
     def regions(self, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(item, from, to) of parts of x, which hold all places of items within their edits."""
-        for at in range(0, len(x), CHUNK):
+        todo = [(at, min(at + CHUNK, len(x))) for at in range(0, len(x), CHUNK)][::-1]
+        while todo:
+            at, stop = todo.pop()
             low = max(0, at - self.reach)
-            part = self.buckets(x[low : at + CHUNK])
-            count = self.count[part]
-            j = np.flatnonzero(count)
-            count = count[j]
-            entry = np.repeat((self.first[part[j]] - (np.cumsum(count) - count)).astype(np.int32), count)
-            entry += np.arange(len(entry), dtype=np.int32)
-            exact = self.place.take(entry)
-            exact += np.repeat(j.astype(np.int32), count)
-            key = (exact >> BIN).astype(np.intp)
-            sums = np.zeros((len(self.which), self.bins + 1), np.int32)
-            np.cumsum(np.bincount(key, minlength=len(self.which) * self.bins).reshape(-1, self.bins), axis=1, out=sums[:, 1:])
-            hits = []
-            for a, b, band in self.bands:
-                r, c = np.divmod(np.flatnonzero(sums[a:b, band:] - sums[a:b, :-band] >= self.least[a:b, None]), self.bins + 1 - band)
-                hits.append((r + a, c))
-            k, c = (np.concatenate(x) for x in zip(*hits, strict=True))
-            if not len(k):
+            j, bucket = [], []
+            for _, b in buckets(x[low:stop], self.lengths):
+                j.append(np.flatnonzero(self.some.take(b)))
+                bucket.append(b[j[-1]])
+            j, bucket = np.concatenate(j), np.concatenate(bucket)
+            count = self.count[bucket]
+            if count.sum() > PLACES and stop - at > self.reach:
+                half = (at + stop) // 2
+                todo += [(half, stop), (at, half)]
                 continue
-            good = self._dense(exact, key, k, c)
-            first = k * self.bins + c
-            near = np.searchsorted(good, first)
-            near = np.flatnonzero(np.r_[good, len(self.which) * self.bins][near] < first + self.band[k])
+            entry = np.repeat(self.first[bucket] - (np.cumsum(count) - count), count)
+            entry += np.arange(len(entry))
+            place = self.place.take(entry)
+            place += np.repeat(j, count)
+            place.sort()
+            k = place >> self.bits
+            other = np.arange(len(place)) - self.least[k] + 1
+            near = np.flatnonzero((place - place[other.clip(0)] <= self.edits[k]) & (other >= 0))
             if not len(near):
                 continue
-            k, c = k[near], c[near]
-            begin = (c << BIN) - self.off + low
-            end = begin + (self.band[k] << BIN) + self.sizes[k]
+            k = k[near]
+            diagonal = (place[near] & ((1 << self.bits) - 1)) - self.off + low
+            begin, end = diagonal - self.edits[k], diagonal + self.edits[k] + self.sizes[k]
             new = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (begin[1:] > end[:-1])])
             yield self.which[k[new]], begin[new], end[np.r_[new[1:], len(k)] - 1]
 
-    def _dense(self, exact: np.ndarray, key: np.ndarray, k: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """The bins, in order, where the last of so many q-grams on edits + 1 neighbouring diagonals lies; looked for in the bands (k, c) alone."""
-        row = self.bins << BIN
-        hot = np.zeros(len(self.which) * self.bins + 1, np.int32)
-        np.add.at(hot, k * self.bins + c, 1)
-        np.add.at(hot, k * self.bins + c + self.band[k], -1)
-        some = np.sort(exact[np.cumsum(hot[:-1]).astype(bool)[key]])
-        item = some // row
-        low = np.searchsorted(some, np.maximum(some - self.edits[item], item * row).astype(np.int32))
-        return np.unique(some[np.arange(1, len(some) + 1) - low >= self.least[item]] >> BIN)
-
 
 class Block:
-    """Items with their q-grams and bit masks, which a worker makes when they are first used."""
+    """Items with their pieces and bit masks, which a worker makes when they are first used."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
         self.items = [(k, plain(t)) for k, t in items if t]
@@ -207,16 +247,14 @@ class Block:
 
     def _index(self):
         if self._ready is None:
-            letters = np.zeros(0x110000, np.int32)
             seen = sorted({ord(c) for _, t in self.items for c in t})
+            letters = np.zeros(0x110000, np.uint16 if len(seen) < 1 << 16 else np.uint32)
             letters[seen] = np.arange(1, len(seen) + 1)
             codes = [letters[points(t)] for _, t in self.items]
             sizes = np.array([len(c) for c in codes])
             edits = (self.rate * sizes).astype(int)
-            q = np.zeros(len(sizes), int)
-            for k in range(1, GRAM + 1):
-                q[sizes - k + 1 - k * edits > 0] = k
-            grams = [Grams(k, np.flatnonzero(q == k), codes, edits[q == k]) for k in np.unique(q[q > 0])]
+            some = np.flatnonzero(sizes > edits)
+            index = [Pieces(some, codes, edits[some])] if len(some) else []
             words, masks = -(-sizes // 64), {}
             for w in np.unique(words):
                 rows = np.flatnonzero(words == w)
@@ -225,15 +263,20 @@ class Block:
                     i = np.arange(sizes[k])
                     np.bitwise_or.at(m, (i // 64, r, codes[k]), np.uint64(1) << (i % 64).astype(np.uint64))
                 masks[w] = rows, m.reshape(w, -1)
-            self._ready = letters, sizes, edits, np.flatnonzero(q == 0), grams, words, masks
+            self._ready = letters, sizes, edits, np.flatnonzero(sizes <= edits), index, words, masks, codes
         return self._ready
 
     def _verify(self, x: np.ndarray, item: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The least edit distance between each item and any part of x[begin:end], and where the first such part ends."""
-        _, sizes, _, _, _, words, masks = self._index()
+        _, sizes, _, _, _, words, masks, codes = self._index()
         best, where = sizes[item].copy(), begin.copy()
         for w, (rows, m) in masks.items():
             mine = np.flatnonzero(words[item] == w)
+            if len(mine) < FEW * w:  # too few to go side by side
+                for k in mine.tolist():
+                    best[k], ends = edit_distance(codes[item[k]].tolist(), x[begin[k] : end[k]].tolist())
+                    where[k] += ends
+                continue
             mine = mine[np.argsort(begin[mine] - end[mine], kind="stable")]  # longest first
             for i in range(0, len(mine), LANES):
                 part = mine[i : i + LANES]
@@ -257,12 +300,14 @@ class Block:
         return out + (self._match(rows, held) if held else [])
 
     def _match(self, rows: list[int], texts: list[str]) -> list[tuple[int, int, int, int]]:
-        letters, sizes, edits, rest, grams, _, _ = self._index()
-        x = letters[points("".join(texts))]
+        letters, sizes, edits, rest, index, *_ = self._index()
         stops = np.cumsum([len(t) for t in texts])
         starts = stops - [len(t) for t in texts]
-        found = [g for gram in grams for g in gram.regions(x)]
-        if len(rest):  # so many edits that q-grams tell nothing
+        x = np.empty(stops[-1], letters.dtype)
+        for t, a, b in zip(texts, starts.tolist(), stops.tolist(), strict=True):
+            np.take(letters, points(t), out=x[a:b])
+        found = [f for pieces in index for f in pieces.regions(x)]
+        if len(rest):  # so many edits that pieces tell nothing
             found.append((np.repeat(rest, len(texts)), np.tile(starts, len(rest)), np.tile(stops, len(rest))))
         if not found:
             return []

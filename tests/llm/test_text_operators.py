@@ -13,6 +13,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -441,6 +442,40 @@ def test_decontamination_finds_every_item_within_its_edits(kind):
     assert {(r, k): x for r, k, *x in map(tuple, decontaminate.Block(items).match(texts))} == {k: list(v) for k, v in want.items()}
 
 
+def test_pieces_are_disjoint_and_rare():
+    rows = [r.text for r in pd.read_parquet(f"{SF}/benchmark.parquet").itertuples() if r.text]
+    block = decontaminate.Block(list(enumerate(rows)))
+    letters, sizes, edits, rest, (index,), _, _, codes = block._index()
+    assert not len(rest)
+    item, place, length = decontaminate.pieces(codes, edits + index.least)
+    for k in range(len(rows)):
+        mine = sorted(zip(place[item == k].tolist(), length[item == k].tolist(), strict=True))
+        assert len(mine) == edits[k] + index.least[k] > edits[k]
+        assert all(a + n <= b for (a, n), (b, _) in zip(mine, [*mine[1:], (sizes[k], 0)], strict=True))
+    # places counted for each letter of the documents: 5.9 when they were all q-grams, 0.28 now
+    texts = [decontaminate.plain(t) for t in pd.read_parquet(f"{SF}/documents.parquet").text if t]
+    x = letters[decontaminate.points("".join(texts))]
+    assert sum(int(index.count[b].sum()) for _, b in decontaminate.buckets(x, index.lengths)) < len(x)
+
+
+@pytest.mark.parametrize("rate", [0.05, 0.2, 0.5, 0.9])
+def test_pieces_lose_no_item_at_any_rate(rate, monkeypatch):
+    monkeypatch.setattr(decontaminate, "CHUNK", 700)
+    monkeypatch.setattr(decontaminate, "PLACES", 300)
+    rng = random.Random(int(100 * rate))
+    items = ["".join(rng.choices("abc de", k=n)) for n in (1, 2, 3, 4, 5, 9, 10, 14, 15, 33, 34, 64, 65, 130, 255, 257, 700)]
+    texts = []
+    for i in items * 3:
+        s = list(i)
+        for _ in range(int(rate * len(i))):
+            at = rng.randrange(len(s) + 1)
+            s[at : at + rng.randrange(2)] = rng.choice(["", "x", "c"])
+        texts.append("".join(rng.choices("abc de", k=rng.randrange(900))) + "".join(s) + "".join(rng.choices("abc dex", k=rng.randrange(900))))
+    got = {(r, k): d for r, k, d, _ in decontaminate.Block(list(enumerate(items)), rate).match(texts)}
+    want = {(r, k): decontaminate.edit_distance(decontaminate.plain(i), t)[0] for r, t in enumerate(texts) for k, i in enumerate(items)}
+    assert got == {(r, k): d for (r, k), d in want.items() if d <= int(rate * len(items[k])) and d < len(items[k])}
+
+
 def test_decontamination_finds_items_with_doubled_spaces(spark):
     items = [(i.item_id, i.text) for i in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     wide = [(k, t.replace(" ", "  ")) for k, t in items if t.count(" ") <= int(0.2 * len(t))]
