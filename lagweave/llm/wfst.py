@@ -42,6 +42,8 @@ META = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Parts whose paths a worker keeps at most, and code points of a part that is kept.
 CACHE, CACHED_CHARS = 300_000, 48
+#: Code points and rows of texts whose ids a worker holds at once.
+HELD, HELD_ROWS = 500_000, 1000
 _part = re.compile(rf"{META}*[^{META}]+|{META}+")
 
 
@@ -221,16 +223,27 @@ class Transducer:
         return b"".join([raw[i] for i in ids])[self.dummy :].decode("utf-8", "replace") if len(ids) else ""
 
 
+def encoded(machine: Transducer, texts: pd.Series) -> Iterator[pd.DataFrame]:
+    """ids and round_trip of the texts in order, in frames of HELD code points or one text at most: what Spark hands over at once has many times as many ids."""
+    sizes = np.array([len(t) if isinstance(t, str) else 0 for t in texts], np.int64)
+    at = 0
+    while at < len(texts):
+        stop = max(at + 1, at + int(np.searchsorted(np.cumsum(sizes[at : at + HELD_ROWS]), HELD, side="right")))
+        ids, back = [], []
+        for t in texts.iloc[at:stop]:
+            ids.append(np.array(machine.encode(t), np.int32) if isinstance(t, str) else None)
+            back.append(machine.decode(ids[-1].tolist()) == machine.plain(t) if isinstance(t, str) else None)
+        yield pd.DataFrame({"ids": ids, "round_trip": pd.array(back, "boolean")})
+        at = stop
+
+
 def encode(docs: DataFrame, machine: Transducer) -> DataFrame:
     """doc_id, ids, n_tokens, and whether decoding them gives the normalised text back, of every row of `docs`."""
 
     @F.pandas_udf("ids array<int>, round_trip boolean")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        ids, back = [], []
-        for t in texts:
-            ids.append(np.array(machine.encode(t), np.int32) if isinstance(t, str) else None)
-            back.append(machine.decode(ids[-1].tolist()) == machine.plain(t) if isinstance(t, str) else None)
-        return pd.DataFrame({"ids": ids, "round_trip": pd.array(back, "boolean")})
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield from encoded(machine, texts)
 
     found = docs.select("doc_id", run(F.col("text")).alias("r")).select("doc_id", "r.ids", "r.round_trip")
     return found.select("doc_id", "ids", F.when(F.col("ids").isNotNull(), F.size("ids")).cast("long").alias("n_tokens"), "round_trip")

@@ -524,6 +524,17 @@ def test_transducer_takes_the_least_cost_path_and_round_trips():
         assert real.decode(real.encode(t)) == t
 
 
+def test_encoder_holds_the_ids_of_few_texts():
+    m = wfst.Transducer(wfst.read_pieces())
+    texts = pd.Series(["the cat sat " * 20_000, None, "", *["of the mat " * 3000] * 40, *["a", None] * 700])
+    frames = list(wfst.encoded(m, texts))
+    assert max(sum(len(i) for i in f.ids if i is not None) for f in frames) < 500_000 and max(map(len, frames)) <= 1000
+    rows = [r for f in frames for r in f.itertuples(index=False)]
+    assert len(rows) == len(texts)
+    for t, r in zip(texts, rows, strict=True):
+        assert (r.ids is None and r.round_trip is pd.NA) if t is None else (r.ids.tolist() == m.encode(t) and r.round_trip)
+
+
 def test_sentencepiece_edges(spark):
     m = wfst.Transducer(wfst.read_pieces())
     rows = {r.doc_id: r for r in wfst.encode(edge_docs(spark), m).collect()}
