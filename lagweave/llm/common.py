@@ -1,11 +1,14 @@
-"""What the operators share: cutting lineage, folds, words."""
+"""What the operators share: cutting lineage, folds, words, memory of workers."""
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,3 +86,23 @@ def fold(doc_id: Column, parts: int) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def give_back() -> None:
+    """Hand what Arrow's pool and the C library have freed back to the system: workers outlive their tasks, and would hold it beside what later stages need."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc alone has it
+        trim(0)
+
+
+def lent(batches: Iterator, forget: Callable[[], object] = lambda: None) -> Iterator:
+    """The batches of a task, with give_back() around each; `forget` empties the task's memory of earlier values at its end."""
+    give_back()
+    try:
+        for batch in batches:
+            yield batch
+            give_back()
+    finally:
+        batch = None
+        forget()
+        give_back()

@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lagweave.llm.common import give_back
+
 #: Edits allowed, as a share of an item's length.
 RATE = 0.2
 #: Longest piece, its buckets as a power of two (one that several share only adds to counts), and pieces of an item beyond one more than its edits, as a share of its length.
@@ -362,6 +364,7 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataF
 
     def searcher(block):
         def search(texts: pd.Series) -> pd.Series:
+            give_back()
             out: list[list] = [[] for _ in range(len(texts))]
             held = block.value.items
             for r, k, d, at in block.value.match([t if isinstance(t, str) else None for t in texts]):
@@ -382,6 +385,7 @@ def keep(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
     """Rows of `docs` that hold no item, all columns as they are; a narrow filter for each block of items."""
     def cleaner(block):
         def clean(texts: pd.Series) -> pd.Series:
+            give_back()
             out = np.ones(len(texts), bool)
             for r, *_ in block.value.match([t if isinstance(t, str) else None for t in texts]):
                 out[r] = False

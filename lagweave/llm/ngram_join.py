@@ -33,12 +33,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagweave.llm.common import WORD, cut, drop_cut, free_name, shuffle_partitions
+from lagweave.llm.common import WORD, cut, drop_cut, free_name, give_back, lent, shuffle_partitions
 from lagweave.llm.graph import components
 
 SIZE, NUMERATOR, DENOMINATOR = 5, 4, 5
 BANDS, ROWS, TOLERANCE = 54, 6, 1e-9
 BLOCK, STEP = 1024, 36
+#: Words whose hashes a worker keeps at most, during a task.
+CACHE = 50_000
 _word = re.compile(WORD)
 _rng = np.random.default_rng(2024)
 _mul = (_rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1))[:, None]
@@ -47,7 +49,7 @@ _add = _rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32
 
 class _Hashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) >= CACHE:
             self.clear()
         h = xxhash.xxh64_intdigest(word)
         if len(word) <= 64:
@@ -58,6 +60,11 @@ class _Hashes(dict):
 _hash = _Hashes()
 
 
+def forget() -> None:
+    """Drop the known hashes of this process; a function that Spark sends to workers would carry a copy of them."""
+    _hash.clear()
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -147,6 +154,7 @@ def _pairs(first: np.ndarray, second: np.ndarray, same: bool, chunk: int = 40_00
 
 def _bucket(f: pd.DataFrame) -> pd.DataFrame:
     """Edges (u, v) of the buckets in a group of rows (key, i, j, block, rep, bands): each member to the least it hangs on."""
+    give_back()
     needed, out = least_agreements(), []
     f = f.sort_values(["key", "i", "j", "rep"], kind="stable")
     bands, reps, block = np.array(f["bands"].tolist(), np.int64).reshape(-1, BANDS), f["rep"].to_numpy(), f["block"].to_numpy()
@@ -183,6 +191,7 @@ def intersections(one: list[np.ndarray], two: list[np.ndarray], width: int = 409
 
 def _verify(f: pd.DataFrame) -> pd.DataFrame:
     """For rows (comp, i, j, block, rep, copies, set): (rep, links, v) with the documents that a member is linked with in these blocks, and the least member it hangs on."""
+    give_back()
     out = []
     f = f.sort_values(["comp", "i", "j", "rep"], kind="stable")
     k, reps, block, copies = f[["comp", "i", "j"]].to_numpy(), f["rep"].to_numpy(), f["block"].to_numpy(), f["copies"].to_numpy()
@@ -229,9 +238,10 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash(docs).alias("th"), "text")
 
     @F.pandas_udf("n int, fp binary, bands array<long>")
-    def sketch(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingles(t if isinstance(t, str) else None) for t in texts]
-        return pd.DataFrame({"n": [len(s) for s in sets], "fp": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "bands": [minhash_bands(s) if len(s) else None for s in sets]})
+    def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in lent(batches, forget):
+            sets = [shingles(t if isinstance(t, str) else None) for t in texts]
+            yield pd.DataFrame({"n": [len(s) for s in sets], "fp": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "bands": [minhash_bands(s) if len(s) else None for s in sets]})
 
     every = cut(docs.select("doc_id", "th", sketch("text").alias("s")).select("doc_id", "th", "s.n", "s.fp", "s.bands"))
     alone = F.col("doc_id").isNull() | (F.col("n") == 0)
@@ -256,8 +266,9 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = members.select("rep", "comp", "size", "copies", F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th"))
 
     @F.pandas_udf("binary")
-    def sets(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingles(t).tobytes() for t in texts], dtype=object)
+    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in lent(batches, forget):
+            yield pd.Series([shingles(t).tobytes() for t in texts], dtype=object)
 
     held = docs.join(members, ["doc_id", "th"]).select("rep", "comp", "size", "copies", sets("text").alias("set")).dropDuplicates(["rep"])
     dealt, _ = _dealt(held, "comp", "size", near.count() // 1000)

@@ -30,7 +30,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from types import SimpleNamespace
 
 import pandas as pd
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lagweave.llm.common import free_name
+from lagweave.llm.common import free_name, lent
 
 # Titles and first names by gender and script.
 TITLES = {"m": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "г-н"], "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "г-жа"]}
@@ -298,10 +298,11 @@ def replace(docs: DataFrame, key: bytes) -> DataFrame:
     name, inner = free_name(docs, "entities"), free_name(docs, "_r")
 
     @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("entities", ENTITIES)]))
-    def run(texts: pd.Series) -> pd.DataFrame:
-        done = [(None, []) if not isinstance(t, str) else rewrite(t, keyed) for t in texts]
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         keys = ("kind", "start", "original", "surrogate")
-        return pd.DataFrame({"text": [t for t, _ in done], "entities": [[dict(zip(keys, e, strict=True)) for e in es] for _, es in done]})
+        for texts in lent(batches):
+            done = [(None, []) if not isinstance(t, str) else rewrite(t, keyed) for t in texts]
+            yield pd.DataFrame({"text": [t for t, _ in done], "entities": [[dict(zip(keys, e, strict=True)) for e in es] for _, es in done]})
 
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     return docs.select(*rest, run(F.col("text")).alias(inner)).select(*rest, F.col(f"{inner}.text").alias("text"), F.col(f"{inner}.entities").alias(name))

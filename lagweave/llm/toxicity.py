@@ -19,7 +19,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagweave.llm.common import WORD
+from lagweave.llm.common import WORD, lent
 
 #: Documents of each class at most from which the dictionaries and thresholds are learnt.
 SAMPLE_TOXIC, SAMPLE_ORDINARY = 2000, 5000
@@ -87,6 +87,10 @@ class Model:
     def __getstate__(self):
         return {**self.__dict__, "_ready": None}
 
+    def forget(self) -> None:
+        """Drop the compressors and the known gains; they are made again when next used."""
+        self._ready = None
+
     def gain(self, window: bytes) -> int:
         """Bytes that the toxic dictionary saves over the ordinary one."""
         if self._ready is None:
@@ -177,8 +181,9 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
 
 def _scored(model: Model):
     @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series([model.score(t) for t in texts], dtype="float64")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in lent(batches, model.forget):
+            yield pd.Series([model.score(t) for t in texts], dtype="float64")
 
     return scored
 

@@ -38,10 +38,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lagweave.llm.common import lent
+
 META = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Parts whose paths a worker keeps at most, and code points of a part that is kept.
-CACHE, CACHED_CHARS = 300_000, 48
+CACHE, CACHED_CHARS = 100_000, 48
 #: Code points and rows of texts whose ids a worker holds at once.
 HELD, HELD_ROWS = 500_000, 1000
 _part = re.compile(rf"{META}*[^{META}]+|{META}+")
@@ -242,7 +244,7 @@ def encode(docs: DataFrame, machine: Transducer) -> DataFrame:
 
     @F.pandas_udf("ids array<int>, round_trip boolean")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
+        for texts in lent(batches, machine.known.clear):
             yield from encoded(machine, texts)
 
     found = docs.select("doc_id", run(F.col("text")).alias("r")).select("doc_id", "r.ids", "r.round_trip")

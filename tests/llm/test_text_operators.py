@@ -629,6 +629,34 @@ def test_cuts_are_deleted(spark):
     assert not os.path.exists(paths[1].removeprefix("file:")) and common.cuts_made() == before
 
 
+def test_workers_keep_nothing_of_a_task(spark):
+    ngram_join.join(documents(spark)).count()
+    probe = lambda frames: (pd.DataFrame({"n": [len(ngram_join._hash)]}) for _ in frames)
+    assert spark.range(0, 64, 1, 16).mapInPandas(probe, "n long").agg(F.max("n")).first()[0] == 0
+    model, texts = toxicity.Model(b" damn hell" * 9, b" good word" * 9), pd.Series(["what the hell", None, ""])
+    (found,) = toxicity._scored(model).func(iter([texts]))
+    assert model._ready is None and found.tolist() == [model.score(t) for t in texts]
+
+
+def test_freed_memory_goes_back():
+    import pyarrow as pa
+
+    from lagweave.llm import common
+
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return int(re.search(r"Anonymous: +(\d+)", f.read())[1]) // 1024
+
+    buffers = [pa.allocate_buffer(50_000) for _ in range(4000)]
+    for b in buffers:
+        np.frombuffer(b, np.uint8)[:] = 1
+    most = held()
+    del buffers, b
+    forgotten = []
+    assert list(common.lent(iter("ab"), lambda: forgotten.append(1))) == ["a", "b"] and forgotten == [1]
+    assert held() < most - 150
+
+
 def test_rows_of_one_id_with_different_texts(spark):
     """Unrelated texts of one id stay apart and both stay; near copies of one id are one."""
     rng = random.Random(3)
